@@ -29,6 +29,8 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _SECRET = re.compile(r"(?<![A-Za-z0-9])[A-Fa-f0-9]{32,128}(?![A-Za-z0-9])")
+#: A fixed prefix that marks a key by itself.
+_KEY_ID = re.compile(r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])")
 _DIGIT = re.compile(r"[0-9]")
 
 #: Words that make a span of a kind likelier, sought among the 32 characters before it.
@@ -105,17 +107,21 @@ def propose(text: str) -> Iterator[tuple[str, int, int]]:
     for m in _IBAN.finditer(text):
         if mod97(m.group()):
             yield "iban", m.start(), m.end()
-    for kind, pattern in (("ssn", _SSN), ("secret", _SECRET)):
+    for kind, pattern in (("ssn", _SSN), ("secret", _SECRET), ("secret", _KEY_ID)):
         for m in pattern.finditer(text):
             yield kind, m.start(), m.end()
 
 
+def _context(kind: str, text: str, start: int) -> bool:
+    near = text[max(0, start - _NEAR) : start].lower()
+    return any(w in near for w in CONTEXT[kind]) or kind == "secret" and text.startswith("AKIA", start)
+
+
 def find(text: str | None) -> list[Span]:
     """All spans of a text (null: none), by start, then kind."""
     found = []
     for kind, a, b in propose(text or ""):
-        near = text[max(0, a - _NEAR) : a].lower()
-        score = min(1.0, PRIOR[kind] + CONTEXT_GAIN * any(w in near for w in CONTEXT[kind]))
+        score = min(1.0, PRIOR[kind] + CONTEXT_GAIN * _context(kind, text, a))
         if kind in BASE or score >= THRESHOLD:
             found.append(Span(kind, a, b, score))
     return sorted(found, key=lambda s: (s.start, KINDS.index(s.kind)))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.llm import pii
+from quernstone.llm import packing, pii
 from quernstone.llm.shared import table
 
 
@@ -14,8 +14,13 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest_rows(table(spark, sf_dir, "documents"))
 
 
+def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_pii": op5_pii,
+    "op9_pack": op9_pack,
 }
 
 ORACLES: dict[str, str] = {}
