@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.llm import packing, pii
+from quernstone.llm import grammar, packing, pii
 from quernstone.llm.shared import table
 
 
@@ -18,8 +18,13 @@ def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grammar.digest_rows(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_pii": op5_pii,
+    "op6_repair": op6_repair,
     "op9_pack": op9_pack,
 }
 
