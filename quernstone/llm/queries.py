@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.llm import grammar, packing, pii
+from quernstone.llm import grammar, packing, pii, rules
 from quernstone.llm.shared import table
 
 
@@ -14,6 +14,11 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest_rows(table(spark, sf_dir, "documents"))
 
 
+def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = rules.apply_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -25,6 +30,7 @@ def op6_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_pii": op5_pii,
     "op6_repair": op6_repair,
+    "op7_rules": op7_rules,
     "op9_pack": op9_pack,
 }
 
