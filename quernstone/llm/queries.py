@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.llm import grammar, packing, pii, rules
+from quernstone.llm import grammar, mixing, packing, pii, rules
 from quernstone.llm.shared import table
 
 
+def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "source_size", "target", "taken", "whole", "ranges")
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest_rows(table(spark, sf_dir, "documents"))
 
@@ -28,6 +33,7 @@ def op6_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_mix": op2_mix,
     "op5_pii": op5_pii,
     "op6_repair": op6_repair,
     "op7_rules": op7_rules,
