@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.llm import grammar, mixing, packing, pii, rules
+from quernstone.llm import grammar, mixing, packing, pii, quality, rules
 from quernstone.llm.shared import table
 
 
@@ -32,12 +32,18 @@ def op6_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grammar.digest_rows(table(spark, sf_dir, "documents"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix": op2_mix,
     "op5_pii": op5_pii,
     "op6_repair": op6_repair,
     "op7_rules": op7_rules,
     "op9_pack": op9_pack,
+    "op10_quality": op10_quality,
 }
 
 ORACLES: dict[str, str] = {}
