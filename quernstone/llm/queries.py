@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.llm import grammar, mixing, packing, pii, quality, rules
+from quernstone.llm import grammar, mixing, packing, pii, quality, rules, vectors
 from quernstone.llm.shared import table
 
 
@@ -24,6 +24,10 @@ def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -42,6 +46,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_pii": op5_pii,
     "op6_repair": op6_repair,
     "op7_rules": op7_rules,
+    "op8_vectors": op8_vectors,
     "op9_pack": op9_pack,
     "op10_quality": op10_quality,
 }
