@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.llm import grammar, mixing, packing, pii, quality, rules, substrings, vectors
+from quernstone.llm import grammar, mixing, neardup, packing, pii, quality, rules, substrings, vectors
 from quernstone.llm.shared import table
 
 
@@ -19,6 +19,10 @@ def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest_rows(table(spark, sf_dir, "documents"))
 
 
+def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.digest_rows(table(spark, sf_dir, "documents"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest_rows(table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix": op2_mix,
     "op3_substrings": op3_substrings,
+    "op4_neardup": op4_neardup,
     "op5_pii": op5_pii,
     "op6_repair": op6_repair,
     "op7_rules": op7_rules,
