@@ -16,12 +16,12 @@ Symbols below :data:`FIRST_RULE` are token ids, the others rules in order.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.llm.shared import Work, salt_count
@@ -202,8 +202,8 @@ def write(df: DataFrame, path: str, vocabulary: str = VOCABULARY, shard_ids: int
     shards.write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
-def read(spark, path: str) -> DataFrame:
-    """Documents of the shards at ``path``: ``doc_id, start, ids`` (unsigned 16-bit bytes)."""
+def _decoded(spark: SparkSession, path: str, make: Callable[[Shard, int], pa.RecordBatch], schema: str) -> DataFrame:
+    """``make(shard, ids before it)`` for every shard at ``path``."""
     shards = spark.read.schema("part int, shard int, before long, n_docs long, n_ids long, payload binary").parquet(path)
     # One row for each write task, of which there are as many as range partitions.
     sums = dict(shards.groupBy("part").agg(F.sum("n_ids")).collect())
@@ -214,11 +214,18 @@ def read(spark, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part, before, payload in zip(*(b.column(c) for c in ("part", "before", "payload")), strict=True):
-                s = Shard.read(payload.as_py())
-                at = first[part.as_py()] + before.as_py()
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(s.doc_ids, pa.int64()), "start": pa.array(at + s.starts), "ids": pa.array([d.astype("<u2").tobytes() for d in s.all()], pa.binary())})
+                yield make(Shard.read(payload.as_py()), first[part.as_py()] + before.as_py())
+
+    return shards.select("part", "before", "payload").mapInArrow(run, schema)
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """Documents of the shards at ``path``: ``doc_id, start, ids`` (unsigned 16-bit bytes)."""
+
+    def make(s: Shard, before: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"doc_id": pa.array(s.doc_ids, pa.int64()), "start": pa.array(before + s.starts), "ids": pa.array([d.astype("<u2").tobytes() for d in s.all()], pa.binary())})
 
-    return shards.select("part", "before", "payload").mapInArrow(run, "doc_id long, start long, ids binary")
+    return _decoded(spark, path, make, "doc_id long, start long, ids binary")
 
 
 def digest_rows(df: DataFrame) -> DataFrame:
@@ -226,9 +233,10 @@ def digest_rows(df: DataFrame) -> DataFrame:
     path = f"{Work(df.sparkSession, 'grammar').path}/shards"
     write(df, path)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [np.frombuffer(x.as_py(), "<u2").astype("<u4") for x in b.column("ids")]
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "start": b.column("start"), "n_tokens": pa.array(map(len, rows), pa.int64()), "ids_crc32": pa.array([zlib.crc32(r.tobytes()) for r in rows], pa.int64())})
+    def make(s: Shard, before: int) -> pa.RecordBatch:
+        raw = memoryview(expand(s.symbols, s.rules).astype("<u4").tobytes())
+        ends = [*s.starts[1:].tolist(), s.n_ids]
+        crcs = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(s.starts.tolist(), ends, strict=True)]
+        return pa.RecordBatch.from_pydict({"doc_id": pa.array(s.doc_ids, pa.int64()), "start": pa.array(before + s.starts), "n_tokens": pa.array(np.diff([*s.starts, s.n_ids])), "ids_crc32": pa.array(crcs, pa.int64())})
 
-    return read(df.sparkSession, path).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return _decoded(df.sparkSession, path, make, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -23,7 +23,8 @@ _MARKS = r"""!"#$%&()*+,./:;<=>?@\\^_`{|}~-"""  # not the apostrophe, which begi
 #: if they end the word; a newline before a letter; else white space with what follows.
 _PIECE = re.compile(rf" ?[{_LATIN}]+(?![^ \n{_MARKS}])|[{_MARKS}]+(?![^ \n])|\n(?=[{_LATIN}])|[ \n]*[^ \n]+|[ \n]+")
 _WORD = re.compile(rf" ?[{_LATIN}]+")
-_ODD = re.compile(r"[^\S \n]|<\|")
+_ODD_NARROW = ("\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0", "<|")
+_ODD_WIDE = re.compile(r"[^\S \n]")
 #: Pieces remembered in a worker; at about 150 bytes each.
 CACHE_PIECES = 600_000
 
@@ -61,7 +62,20 @@ class Encoder(dict):
         if len(self) > CACHE_PIECES:
             self.clear()
         get = self.__getitem__
-        return [np.frombuffer(self.whole(t) if _ODD.search(t) else b"".join(map(get, _PIECE.findall(t))), "<u2") for t in (x or "" for x in texts)]
+        return [np.frombuffer(self.whole(t) if _odd(t) else b"".join(map(get, _PIECE.findall(t))), "<u2") for t in (x or "" for x in texts)]
+
+
+def _odd(text: str) -> bool:
+    """Whether a text holds other white space or what may be a special token."""
+    if any(c in text for c in _ODD_NARROW):
+        return True
+    if text.isascii():
+        return False
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return bool(_ODD_WIDE.search(text))
+    return False
 
 
 def _byte_letters() -> list[str]:
