@@ -10,6 +10,7 @@ and within a cluster all pairs are confirmed on the full sets, block by block.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +24,10 @@ from quernstone.llm.shared import Work, salt_count
 TREES, LEVELS, DEPTH = 16, 8, 4
 #: Neighbourhoods above this size go one level deeper.
 REGION = 2048
-#: Values of eight bits in a sketch, and the share that must agree (a pair at 0.85 does but for about 3e-6).
+#: Values of eight bits in a sketch, and by how many standard deviations a pair at the
+#: threshold may agree less and still be a candidate (about 3 in a million agree even less).
 SKETCH = 64
-AGREE = 0.65
+SLACK = 4.5
 #: Sets in a block of exact comparison; a large set counts as several.
 BLOCK = 128
 BLOCK_SHINGLES = 1 << 18
@@ -115,9 +117,14 @@ def _regions(deep: list[bytes], start: int, end: int, level: int) -> Iterator[tu
         i = j
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def agreeing(percent: int) -> int:
+    """Equal sketch values that a candidate needs."""
+    p = percent / 100
+    return max(1, int(SKETCH * p - SLACK * np.sqrt(SKETCH * p * (1 - p))))
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch], need: int) -> Iterator[pa.RecordBatch]:
     """Candidate edges of the sorted trees: of each region, a spanning forest of the agreeing sketches."""
-    need = int(np.ceil(AGREE * SKETCH))
     held: pa.Table | None = None
 
     def settle(rows: pa.Table) -> pa.RecordBatch:
@@ -241,7 +248,7 @@ def groups(df: DataFrame, width: int, percent: int) -> DataFrame:
     reps = work.save(reps, "reps")
     trees = reps.select("node", "sig").mapInArrow(_grow, "tree int, key long, deep binary, node long, sketch binary")
     trees = trees.repartition(parts, "tree", "key").sortWithinPartitions("tree", "key", "deep", "node")
-    clusters = components(trees.mapInArrow(_neighbours, "a long, b long"), work)
+    clusters = components(trees.mapInArrow(partial(_neighbours, need=agreeing(percent)), "a long, b long"), work)
     here = Window.partitionBy("cluster").orderBy("n", "node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     members = reps.join(clusters.withColumnsRenamed({"id": "node", "component": "cluster"}), "node").select("cluster", "node", "n", "rep.doc", "rep.th")
     # A set of many shingles takes the room of several in its block.
