@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from quernstone.llm import textvec
 
 #: The model is fitted on at most so many labelled documents (those of least hash) ...
-FIT_DOCUMENTS = 6000
+FIT_DOCUMENTS = 3000
 #: ... of which so many first lines are used. Scores always use all lines.
-FIT_LINES = 300
+FIT_LINES = 100
 HELD_OUT = 1
 _GRAM = 5
 _SHARED = ("upper", "symbol", "mark", "pipe", "digit", "repeat", "gram", "same_line")
