@@ -19,8 +19,9 @@ from quernstone.llm.shared import Work
 _WS = r"[\x20\x09-\x0D]+"
 _NOT_WS = r"[^\x20\x09-\x0D]"
 WINDOW = 8
-#: Rows on which cost and selectivity are estimated; they only set the order.
+#: About so many rows, from all of the table, on which cost and selectivity are estimated; they only set the order.
 SAMPLE_ROWS = 2000
+SAMPLE_SEED = 7
 
 
 @dataclass(frozen=True)
@@ -118,7 +119,8 @@ def apply_rules(df: DataFrame, text: str = "text", rules: list[Rule] | None = No
     """Metrics, ``rejected_by``, ``base_failed`` and ``kept`` for every row of ``df``."""
     rules = default_rules(text) if rules is None else rules
     work = Work(df.sparkSession, "rules")
-    sample = work.save(with_metrics(df.limit(sample_rows), text), "sample")
+    share = min(1.0, sample_rows / max(1, df.count()))
+    sample = work.save(with_metrics(df.sample(share, SAMPLE_SEED), text), "sample")
     ordered = order(rules, measure(sample, rules))
     work.drop("sample")
     out = cascade(with_metrics(df, text), ordered).withColumn("base_failed", base_failed())
