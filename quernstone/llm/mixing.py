@@ -31,6 +31,8 @@ BLOCK_WORDS = 64
 SHARD_WORDS = 1 << 18
 MOST_SHARDS = 4096
 SEED = 20_240_229
+#: Up to so many sources (about 10 MB) their plan is broadcast; more are joined by a shuffle.
+FEW_SOURCES = 100_000
 
 
 def targets(sizes: Sequence[int], weights: Sequence[int], share: Fraction = SHARE, most: int = MOST_REPEATS) -> list[Fraction]:
@@ -104,7 +106,8 @@ def mix(df: DataFrame, weights: Sequence[int] = WEIGHTS, share: Fraction = SHARE
     totals = {None if k == "" else k[1:]: n for k, n in sized.groupBy("_key").agg(F.sum("size")).collect()}
     rows = plan(totals, weights, share, most, block)
     sources = spark.createDataFrame(rows, "_key string, source_size long, target double, _blocks long, _shards long")
-    placed = sized.join(sources, "_key").withColumn("_shard", F.pmod(F.xxhash64(F.lit(seed + 1), "_order"), F.col("_shards")))
+    few = len(rows) <= FEW_SOURCES
+    placed = sized.join(F.broadcast(sources) if few else sources, "_key").withColumn("_shard", F.pmod(F.xxhash64(F.lit(seed + 1), "_order"), F.col("_shards")))
 
     def quotas(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("_shard")
