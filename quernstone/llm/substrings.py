@@ -30,7 +30,7 @@ from quernstone.llm.shared import Work, salt_count
 WINDOW = 20
 GRAM = 8
 #: Blocks that a task resolves among themselves before it hands over one for each content.
-LOCAL_BLOCKS = 1 << 19
+LOCAL_BLOCKS = 1 << 18
 _NULL_ID = -(1 << 63)
 _BLOCK, _MULTI, _COPY, _EXPAND, _DOC = range(5)
 _SCHEMA = "kind int, ah long, eh long, doc long, th int, lo int, cnt int, n_words long, sha string"

@@ -14,7 +14,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Texts are grouped into buffers of about this size; a longer text stands alone.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S33 = np.uint64(33)
