@@ -1 +1 @@
-
+"""Column functions and chunking kernels."""

@@ -1 +1 @@
-
+"""Operators on tables of files, spans and chunks."""

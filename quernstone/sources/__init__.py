@@ -1 +1 @@
-
+"""Where data and settings come from."""
