@@ -21,6 +21,7 @@ from quernstone.errors import AlreadyExists, InvalidInput, NotFound, PermissionD
 from quernstone.functions.hashing import hasher, ratio
 from quernstone.operators import store
 from quernstone.operators.chunkers import Chunker, chunk
+from quernstone.operators.ordered import running
 
 Scrubber = Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame, DataFrame]]
 
@@ -274,10 +275,7 @@ class FileStore:
         name = f"{handle.file_name}.{wanted:.2f}"
         f = _File(self.generations)
         self.generations += 1
-        from quernstone.operators.ordered import running
-
-        n = made.agg(F.count_if("part = 0"), F.coalesce(F.max(F.when(F.col("part") == 0, F.col("place"))), F.lit(0)))
-        _, turn = n.first()
+        turn = made.agg(F.coalesce(F.max(F.when(F.col("part") == 0, F.col("place"))), F.lit(0))).first()[0]
         placed = made.withColumn("_at", F.when(F.col("part") == 0, F.col("cycle") * turn + F.col("place")).otherwise(F.lit(1 << 40) + F.col("place")))
         placed = running(placed, "_at", ["_at"], {"upto": "len"}, place="n")
         rows = placed.select(F.lit(name).alias("file_name"), F.lit(f.generation).cast("long").alias("generation"), (F.col("n") - 1).alias("span_idx"), F.lit(-1).cast("long").alias("write_seq"), "hash", (F.col("upto") - F.col("len")).alias("offset"), "len")

@@ -1 +1 @@
-
+"""Deduplication of arriving files."""
