@@ -8,10 +8,10 @@ and joins are plain equi-joins that adaptive execution can split.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quernstone.llm.shared import Work
+from quernstone.llm.shared import Work, salt_count
 
 
 def components(edges: DataFrame, work: Work) -> DataFrame:
@@ -64,6 +64,24 @@ class Forest:
         return True
 
 
+def places(members: DataFrame, group: str, order: list[str], room: Column | None = None) -> DataFrame:
+    """Adds ``_place``, where each row begins in its group, and ``_size`` of the group.
+
+    A row takes ``room`` places (1 if not given). Rows of a group are summed in
+    salted parts, whose totals, a few rows a group, are summed after; so a group
+    that holds a third of all rows is no single task.
+    """
+    salt = F.pmod(F.xxhash64(*order), F.lit(salt_count(members.sparkSession)))
+    keyed = members.withColumn("_salt", salt).withColumn("_room", (F.lit(1) if room is None else room).cast("long"))
+    here = Window.partitionBy(group, "_salt").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = keyed.withColumn("_upto", F.sum("_room").over(here))
+    totals = keyed.groupBy(group, "_salt").agg(F.sum("_room").alias("_part"))
+    before = F.sum("_part").over(Window.partitionBy(group).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1))
+    totals = totals.select(group, "_salt", F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_part").over(Window.partitionBy(group)).alias("_size"))
+    placed = local.join(totals, [group, "_salt"])
+    return placed.select(*members.columns, (F.col("_before") + F.col("_upto") - F.col("_room")).alias("_place"), "_size")
+
+
 def block_pairs(members: DataFrame, group: str, block: int) -> DataFrame:
     """Rows of ``members`` dealt to tasks that see two blocks of a group at a time.
 

@@ -14,11 +14,11 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.llm import textvec
-from quernstone.llm.graph import Forest, block_pairs, components
+from quernstone.llm.graph import Forest, block_pairs, components, places
 from quernstone.llm.shared import Work, salt_count
 
 TREES, LEVELS, DEPTH = 16, 8, 4
@@ -249,11 +249,10 @@ def groups(df: DataFrame, width: int, percent: int) -> DataFrame:
     trees = reps.select("node", "sig").mapInArrow(_grow, "tree int, key long, deep binary, node long, sketch binary")
     trees = trees.repartition(parts, "tree", "key").sortWithinPartitions("tree", "key", "deep", "node")
     clusters = components(trees.mapInArrow(partial(_neighbours, need=agreeing(percent)), "a long, b long"), work)
-    here = Window.partitionBy("cluster").orderBy("n", "node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     members = reps.join(clusters.withColumnsRenamed({"id": "node", "component": "cluster"}), "node").select("cluster", "node", "n", "rep.doc", "rep.th")
     # A set of many shingles takes the room of several in its block.
     room = F.greatest(F.lit(1), F.expr(f"cast(ceil(n * {BLOCK} / {BLOCK_SHINGLES}) as long)"))
-    members = members.withColumn("_place", F.sum(room).over(here) - room).withColumn("_size", F.sum(room).over(Window.partitionBy("cluster")))
+    members = places(members, "cluster", ["node"], room)
     own = _keyed(df)
     texts = own.join(members, ["doc", "th"]).select("cluster", "node", "_place", "_size", "text")
 

@@ -19,12 +19,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 class Work:
-    """A folder of intermediate tables, unique to one call of an operator."""
+    """A folder of intermediate tables, unique to one call of an operator.
+
+    Results read them lazily, so they stay until :func:`cleanup`.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         base = spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_DIR
         self.spark = spark
         self.path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        _MADE.append(self)
 
     def save(self, df: DataFrame, table: str, codec: str = "zstd") -> DataFrame:
         """Write ``df`` and return a reader of what was written."""
@@ -41,6 +45,16 @@ class Work:
             path.getFileSystem(conf).delete(path, True)
 
 
+#: The folders that this session has made.
+_MADE: list[Work] = []
+
+
+def cleanup() -> None:
+    """Delete all intermediate tables of this session; results that were not written yet are lost with them."""
+    while _MADE:
+        _MADE.pop().drop("")
+
+
 def tokens_path(name: str) -> str:
     """Where the installed public tokenizer file is; resolved on each machine."""
     import public_tokenizers

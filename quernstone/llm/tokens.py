@@ -25,8 +25,8 @@ _PIECE = re.compile(rf" ?[{_LATIN}]+(?![^ \n{_MARKS}])|[{_MARKS}]+(?![^ \n])|\n(
 _WORD = re.compile(rf" ?[{_LATIN}]+")
 _ODD_NARROW = ("\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0", "<|")
 _ODD_WIDE = re.compile(r"[^\S \n]")
-#: Pieces remembered in a worker; at about 150 bytes each.
-CACHE_PIECES = 600_000
+#: Pieces remembered in a worker at about 150 bytes each: so many new ones, and those of the generation before.
+CACHE_PIECES = 400_000
 
 
 class Encoder(dict):
@@ -42,9 +42,13 @@ class Encoder(dict):
         self.model = self.tokenizer.model
         self.spaced = name.startswith("byte_bpe")  # its tokens hold the blank before a word
         self.table = _byte_letters()
+        self.before: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
         """Plain words go straight to the merge model, other pieces through the whole tokenizer."""
+        if (found := self.before.get(piece)) is not None:
+            self[piece] = found
+            return found
         if _WORD.fullmatch(piece):
             word = piece if self.spaced else piece.strip(" ").lower()
             ids = [t.id for t in self.model.tokenize("".join([self.table[b] for b in word.encode()]))]
@@ -60,6 +64,7 @@ class Encoder(dict):
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text; null counts as empty."""
         if len(self) > CACHE_PIECES:
+            self.before = dict(self)
             self.clear()
         get = self.__getitem__
         return [np.frombuffer(self.whole(t) if _odd(t) else b"".join(map(get, _PIECE.findall(t))), "<u2") for t in (x or "" for x in texts)]
