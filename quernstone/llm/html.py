@@ -340,10 +340,10 @@ def extract(df: DataFrame, html: str = "html") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        from quernstone.llm.textvec import groups
+        from quernstone.llm.textvec import groups, slices
 
         arrow = to_arrow_schema(schema)
-        for b in batches:
+        for b in slices(batches):
             pages = b.column(names.index(html)).to_pylist()
             for i, j in groups(pages, PAGE_CHARS):
                 texts = main_texts(pages[i:j], trees.logit)

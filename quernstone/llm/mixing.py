@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernstone.llm.shared import WORD, Work, n_words
+from quernstone.llm.textvec import slices
 
 WEIGHTS = (3, 1, 2)
 #: Share of all words that the mix takes, and how often a word may be taken.
@@ -159,7 +160,7 @@ def mixed_documents(df: DataFrame, **how) -> DataFrame:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(schema)
-        for b in batches:
+        for b in slices(batches):
             take, texts = [], []
             for i, (text, size, whole, ranges) in enumerate(zip(*(b.column(c).to_pylist() for c in (at, len(columns), len(columns) + 1, len(columns) + 2)), strict=True)):
                 take += [i] * whole

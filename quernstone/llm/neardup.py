@@ -75,7 +75,7 @@ def sketches(df: DataFrame, width: int) -> DataFrame:
     """``doc, th, n_shingles, node, s2, sig`` of every row; equal sets have equal ``node`` and ``s2``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in textvec.slices(batches):
             texts = b.column("text").to_pylist()
             for i, j in textvec.groups(texts):
                 sets = shingle_sets(texts[i:j], width)
@@ -257,7 +257,7 @@ def groups(df: DataFrame, width: int, percent: int) -> DataFrame:
     texts = own.join(members, ["doc", "th"]).select("cluster", "node", "_place", "_size", "text")
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in textvec.slices(batches):
             rows = b.column("text").to_pylist()
             for i, j in textvec.groups(rows):
                 sets = [s.tobytes() for s in shingle_sets(rows[i:j], width)]

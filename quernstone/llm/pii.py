@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from quernstone.llm.textvec import slices
+
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "secret")
 BASE = KINDS[:4]
 
@@ -163,7 +165,7 @@ def with_spans(df: DataFrame, text: str = "text", spans: str = "pii_spans", reda
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(schema)
-        for b in batches:
+        for b in slices(batches):
             texts = b.column(names.index(text)).to_pylist()
             all_spans = [find(t) for t in texts]
             made = {spans: [[s.__dict__ for s in x] for x in all_spans]}
@@ -179,7 +181,7 @@ def digest_rows(df: DataFrame) -> DataFrame:
     """Counts, digest and joined spans of every row of ``df(doc_id, text)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             rows = [find(t) for t in b.column(1).to_pylist()]
             base = [[s for s in r if s.kind in BASE] for r in rows]
             counts = {f"n_{k}": pa.array([sum(s.kind == k for s in r) for r in base], pa.int64()) for k in BASE}

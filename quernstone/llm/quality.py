@@ -273,7 +273,7 @@ def train(docs: DataFrame, labels: DataFrame, documents: int = FIT_DOCUMENTS) ->
     own = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in textvec.slices(batches):
             for i in range(len(b)):
                 f = features([b.column("text")[i].as_py()])
                 yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id").slice(i, 1), "quality": b.column("quality").slice(i, 1).cast(pa.int32()), "x": pa.array([f.x[:FIT_LINES].astype("<f4").tobytes()], pa.binary()), "w": pa.array([f.weight[:FIT_LINES].tobytes()], pa.binary())})
@@ -296,7 +296,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in textvec.slices(batches):
             s = model.score(b.column("text").to_pylist())
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "held_out": b.column("held_out"), "score": pa.array(s), "predicted": pa.array((s >= 0.5).astype(np.int32))})
 
@@ -308,7 +308,7 @@ def keep_good(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     schema, at = docs.schema, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in textvec.slices(batches):
             yield b.filter(pa.array(model.score(b.column(at).to_pylist()) >= least))
 
     return docs.mapInArrow(run, schema)

@@ -133,7 +133,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.Table.from_batches([own, extra]).combine_chunks().to_batches()[0]
 
     size = 0
-    for b in batches:
+    for b in textvec.slices(batches):
         texts, docs, ths = b.column("text").to_pylist(), b.column("doc").to_numpy(), b.column("th").to_numpy()
         for i, j in textvec.groups(texts):
             w = textvec.words(texts[i:j])
@@ -174,7 +174,7 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Two hashes and the place of every window of the blocks to expand."""
-    for b in batches:
+    for b in textvec.slices(batches):
         texts = b.column("text").to_pylist()
         marks = b.column("marks").to_pylist()
         for i, j in textvec.groups(texts):
@@ -244,7 +244,7 @@ def digest_rows(df: DataFrame) -> DataFrame:
     plain, factored = repeated(df)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in textvec.slices(batches):
             rows = []
             for text, marks, again in zip(*(b.column(c).to_pylist() for c in ("text", "marks", "again")), strict=True):
                 n = len(text.encode("utf-8", "surrogatepass").split())
@@ -260,7 +260,7 @@ def factors(df: DataFrame) -> DataFrame:
     """Maximal duplicate spans ``doc_id, start, length`` in words of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in textvec.slices(batches):
             out: list[tuple[int, int, int]] = []
             for doc, text, marks, again in zip(*(b.column(c).to_pylist() for c in ("doc", "text", "marks", "again")), strict=True):
                 mask = _mask(len(text.encode("utf-8", "surrogatepass").split()), marks, again).astype(np.int8)

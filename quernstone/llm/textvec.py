@@ -111,6 +111,13 @@ def words(texts: list[str | None]) -> Words:
     return Words(data, base, starts, ends, np.searchsorted(starts, base))
 
 
+def slices(batches: Iterable, rows: int = 512) -> Iterator:
+    """Arrow batches in pieces of a few hundred rows, so that few texts are Python objects at a time."""
+    for b in batches:
+        for at in range(0, len(b), rows):
+            yield b.slice(at, rows)
+
+
 def groups(texts: Iterable[str | None], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ``limit`` characters; at least one text each."""
     start = size = i = 0

@@ -26,7 +26,7 @@ _WORD = re.compile(rf" ?[{_LATIN}]+")
 _ODD_NARROW = ("\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0", "<|")
 _ODD_WIDE = re.compile(r"[^\S \n]")
 #: Pieces remembered in a worker at about 150 bytes each: so many new ones, and those of the generation before.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 200_000
 
 
 class Encoder(dict):
