@@ -144,15 +144,16 @@ def mixed_documents(df: DataFrame, **how) -> DataFrame:
     taken of, such as empty texts, give none.
     """
     seed = how.get("seed", SEED)
-    taken = mix(df, **how).select(F.col("_order").alias("_mix_order"), F.col("doc_id").alias("_mix_id"), F.col("size").alias("_mix_size"), F.col("whole").alias("_mix_whole"), F.col("ranges").alias("_mix_ranges"))
-    # Rows of equal id and text are taken unequally only as copies of each other.
-    taken = taken.withColumn("_mix_n", F.row_number().over(Window.partitionBy("_mix_order", "_mix_id").orderBy("_mix_whole", "_mix_ranges")))
-    own = df.withColumn("_mix_order", F.xxhash64(F.lit(seed), "doc_id", "text"))
-    same = Window.partitionBy("_mix_order", "doc_id").orderBy(*[F.col(f"`{c}`") for c in df.columns if c not in ("doc_id", "text")])
-    own = own.withColumn("_mix_n", F.row_number().over(same))
-    both = own.join(taken, (own["_mix_order"] == taken["_mix_order"]) & own["doc_id"].eqNullSafe(taken["_mix_id"]) & (own["_mix_n"] == taken["_mix_n"]))
+    ident = F.coalesce("doc_id", F.lit(-(1 << 63)))
+    taken = mix(df, **how).select(F.col("_order").alias("_mix_order"), ident.alias("_mix_id"), F.col("size").alias("_mix_size"), F.col("whole").alias("_mix_whole"), F.col("ranges").alias("_mix_ranges"))
+    # Rows of equal id and text are told apart by number only; both sides are dealt once, by the windows' key.
+    key = ["_mix_order", "_mix_id"]
+    taken = taken.withColumn("_mix_n", F.row_number().over(Window.partitionBy(*key).orderBy("_mix_whole", "_mix_ranges")))
+    own = df.withColumn("_mix_order", F.xxhash64(F.lit(seed), "doc_id", "text")).withColumn("_mix_id", ident)
+    own = own.withColumn("_mix_k", F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))))
+    both = own.join(taken, key).filter(F.col("_mix_k") - F.col("_mix_n") == 0)
     both = both.filter((F.col("_mix_size") > 0) & ((F.col("_mix_whole") > 0) | (F.size("_mix_ranges") > 0)))
-    both = both.select(*[own[f"`{c}`"] for c in df.columns], "_mix_size", "_mix_whole", "_mix_ranges")
+    both = both.select(*[f"`{c}`" for c in df.columns], "_mix_size", "_mix_whole", "_mix_ranges")
     columns, at, schema = df.columns, df.columns.index("text"), df.schema
     word = re.compile(WORD)
 
