@@ -267,11 +267,14 @@ def groups(df: DataFrame, width: int, percent: int) -> DataFrame:
     dealt = block_pairs(sets, "cluster", BLOCK).select("_pair", "_block", "node", "shingles")
     dealt = dealt.repartition(parts, "_pair").sortWithinPartitions("_pair", "_block", "node")
     linked = components(dealt.mapInArrow(_confirm(percent), "a long, b long").filter("a <> b"), Work(spark, "neardup-links"))
-    rows = known.select("doc", "th", "n_shingles", "node").join(linked.withColumnsRenamed({"id": "node", "component": "label"}), "node", "left")
-    rows = rows.withColumn("label", F.when(F.col("n_shingles") > 0, F.coalesce("label", "node")))
-    least = rows.filter("label is not null").groupBy("label").agg(F.min("doc").alias("least"))
-    out = rows.join(least, "label", "left")
-    return out.select("doc", "th", "n_shingles", F.coalesce("least", "doc").alias("component"))
+    # The least document is found among the distinct sets; documents then join once, by their set.
+    labelled = reps.select("node", "rep.doc").join(linked.withColumnRenamed("id", "node"), "node")
+    least = labelled.groupBy("component").agg(F.min("doc").alias("least"))
+    linked = labelled.join(least, "component").select("node", "least")
+    classes = reps.select("node", "s2", "rep.doc").join(linked, "node", "left").select("node", "s2", F.coalesce("least", "doc").alias("component"))
+    own = known.select("doc", "th", "n_shingles", "node", "s2").filter("n_shingles > 0").join(classes, ["node", "s2"])
+    none = known.filter("n_shingles = 0").select("doc", "th", "n_shingles", F.col("doc").alias("component"))
+    return own.select("doc", "th", "n_shingles", "component").union(none)
 
 
 def _original(c: str) -> Column:
