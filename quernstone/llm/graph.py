@@ -82,14 +82,20 @@ def places(members: DataFrame, group: str, order: list[str], room: Column | None
     return placed.select(*members.columns, (F.col("_before") + F.col("_upto") - F.col("_room")).alias("_place"), "_size")
 
 
-def block_pairs(members: DataFrame, group: str, block: int) -> DataFrame:
+#: A large group is cut into about so many blocks before its blocks grow.
+BLOCKS = 16
+
+
+def block_pairs(members: DataFrame, group: str, least: int, most: int) -> DataFrame:
     """Rows of ``members`` dealt to tasks that see two blocks of a group at a time.
 
-    ``members`` has ``group`` and a dense ``_place`` in it and ``_size``. A row of
-    block ``i`` of ``n`` goes to the ``n`` pairs that hold it, so every two rows
-    of a group meet in exactly one pair of different blocks, or in ``(i, i)``.
+    ``members`` has ``group`` and a dense ``_place`` in it and ``_size``. A block
+    holds ``least`` places, in large groups more, up to ``most``, so that a row is
+    copied to about ``_size / most`` tasks at worst. A row of block ``i`` of ``n``
+    goes to the ``n`` pairs that hold it: every two rows of a group meet in
+    exactly one pair of different blocks, or in ``(i, i)``.
     """
-    n = F.ceil(F.col("_size") / block).cast("int")
-    own = members.withColumn("_block", F.expr(f"cast(_place div {block} as int)"))
-    own = own.withColumn("_with", F.explode(F.sequence(F.lit(0), n - 1)))
-    return own.withColumn("_pair", F.struct(F.col(group), F.least("_block", "_with").alias("i"), F.greatest("_block", "_with").alias("j")))
+    own = members.withColumn("_wide", F.least(F.lit(most), F.greatest(F.lit(least), F.ceil(F.col("_size") / BLOCKS))).cast("int"))
+    own = own.withColumn("_block", F.expr("cast(_place div _wide as int)"))
+    own = own.withColumn("_with", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("_size") / F.col("_wide")) - 1).cast("int"))))
+    return own.withColumn("_pair", F.struct(F.col(group), F.least("_block", "_with").alias("i"), F.greatest("_block", "_with").alias("j"))).drop("_wide")

@@ -28,8 +28,8 @@ REGION = 2048
 #: threshold may agree less and still be a candidate (about 3 in a million agree even less).
 SKETCH = 64
 SLACK = 4.5
-#: Sets in a block of exact comparison; a large set counts as several.
-BLOCK = 128
+#: Sets in a block of exact comparison, and in one of a large cluster; a set of many shingles counts as several.
+BLOCK, LARGEST_BLOCK = 128, 1024
 BLOCK_SHINGLES = 1 << 18
 _NULL_ID = -(1 << 63)
 _RNG = np.random.default_rng(85)
@@ -264,7 +264,7 @@ def groups(df: DataFrame, width: int, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in ("cluster", "node", "_place", "_size")), pa.array(sets, pa.binary())], names=["cluster", "node", "_place", "_size", "shingles"])
 
     sets = work.save(texts.mapInArrow(full, "cluster long, node long, _place long, _size long, shingles binary"), "sets")
-    dealt = block_pairs(sets, "cluster", BLOCK).select("_pair", "_block", "node", "shingles")
+    dealt = block_pairs(sets, "cluster", BLOCK, LARGEST_BLOCK).select("_pair", "_block", "node", "shingles")
     dealt = dealt.repartition(parts, "_pair").sortWithinPartitions("_pair", "_block", "node")
     linked = components(dealt.mapInArrow(_confirm(percent), "a long, b long").filter("a <> b"), Work(spark, "neardup-links"))
     # The least document is found among the distinct sets; documents then join once, by their set.

@@ -1,5 +1,6 @@
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from quernstone.llm.graph import block_pairs, places
@@ -18,9 +19,10 @@ def test_places_fill_the_group(spark):
             at += n
 
 
-def test_every_two_rows_meet_once(spark):
-    df = spark.range(23).select("id", F.lit(1).alias("g"))
-    rows = block_pairs(places(df, "g", ["id"]), "g", 5).select("_pair", "_block", "id").collect()
+@pytest.mark.parametrize(("n", "least", "most"), [(23, 5, 5), (40, 2, 7), (64, 1, 100), (3, 5, 9)])
+def test_every_two_rows_meet_once(spark, n, least, most):
+    df = spark.range(n).select("id", F.lit(1).alias("g"))
+    rows = block_pairs(places(df, "g", ["id"]), "g", least, most).select("_pair", "_block", "id").collect()
     met = defaultdict(int)
     for a in rows:
         for b in rows:
