@@ -101,7 +101,20 @@ def lengths_of(rules: np.ndarray) -> np.ndarray:
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray) -> np.ndarray:
-    """Ids of a symbol sequence: every pass replaces each nonterminal by its two symbols."""
+    """Ids of a symbol sequence: the rules are expanded once, then every symbol is looked up."""
+    if len(symbols) < 2 * len(rules):
+        return _unfold(symbols, rules)
+    size = lengths_of(rules)
+    flat = np.concatenate([np.arange(FIRST_RULE, dtype=np.uint16), _unfold(np.arange(FIRST_RULE, FIRST_RULE + len(rules)).astype(np.uint16), rules)])
+    first = np.cumsum(size) - size
+    wide = size[symbols]
+    ends = np.cumsum(wide)
+    at = np.arange(int(ends[-1]) if len(ends) else 0)
+    return flat[at + np.repeat(first[symbols] - (ends - wide), wide)]
+
+
+def _unfold(symbols: np.ndarray, rules: np.ndarray) -> np.ndarray:
+    """Every pass replaces each nonterminal by its two symbols."""
     while len(big := np.flatnonzero(symbols >= FIRST_RULE)):
         width = np.ones(len(symbols), np.int64)
         width[big] = 2

@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from quernstone.llm.shared import small_batches
+
 # Element names of the HTML standard by their role.
 RAW = frozenset("script style noscript template iframe svg math object canvas audio video head title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -331,6 +333,7 @@ def extract(df: DataFrame, html: str = "html") -> DataFrame:
 
     from quernstone.llm.htmlmodel import model
 
+    small_batches(df.sparkSession)
     trees = model()
     names = [c for c in df.columns if c not in ("text", "n_chars") or c == html]
     kept = df.select(*[f"`{c}`" for c in names])

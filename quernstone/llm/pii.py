@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from quernstone.llm.shared import small_batches
 from quernstone.llm.textvec import slices
 
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "secret")
@@ -155,6 +156,7 @@ def with_spans(df: DataFrame, text: str = "text", spans: str = "pii_spans", reda
     empty list and stays null; rows are neither dropped nor merged. Narrow: no
     shuffle, one Arrow batch in memory at a time.
     """
+    small_batches(df.sparkSession)
     names = [n for n in df.columns if n not in {spans, redacted} or n == text]
     kept = df.select(*[df[f"`{n}`"] for n in names])
     fields = [f for f in kept.schema.fields if f.name != redacted] + [T.StructField(spans, SPANS)]
@@ -188,5 +190,6 @@ def digest_rows(df: DataFrame) -> DataFrame:
             sha = [hashlib.sha256(joined(r).encode()).hexdigest() for r in base]
             yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), **counts, "base_sha256": pa.array(sha, pa.string()), "spans": pa.array([joined(r) for r in rows], pa.string()), "max_score": pa.array([max((s.score for s in r), default=None) for r in rows], pa.float64())})
 
+    small_batches(df.sparkSession)
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, max_score double"
     return df.select("doc_id", "text").mapInArrow(run, schema)

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.llm import textvec
+from quernstone.llm.shared import small_batches
 
 #: The model is fitted on at most so many labelled documents (those of least hash) ...
 FIT_DOCUMENTS = 3000
@@ -268,6 +269,7 @@ def train(docs: DataFrame, labels: DataFrame, documents: int = FIT_DOCUMENTS) ->
     ``documents``) are joined and turned into features on the executors. Rows
     with a null id, label or text are no examples.
     """
+    small_batches(docs.sparkSession)
     chosen = labels.select("doc_id", "quality").filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out())
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(documents)
     own = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
@@ -300,11 +302,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             s = model.score(b.column("text").to_pylist())
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "held_out": b.column("held_out"), "score": pa.array(s), "predicted": pa.array((s >= 0.5).astype(np.int32))})
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text", held_out().alias("held_out")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` (all columns) whose text scores ``least`` or more."""
+    small_batches(docs.sparkSession)
     schema, at = docs.schema, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,6 +18,17 @@ DEFAULT_DIR = "file:///tmp/checkpoints/quernstone"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows in an Arrow batch of whole texts, unless the session sets its own.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's default of 10,000 rows a batch: a row may be a long text, and batches are held outside the heap."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 class Work:
     """A folder of intermediate tables, unique to one call of an operator.
 
@@ -29,6 +40,7 @@ class Work:
         self.spark = spark
         self.path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
         _MADE.append(self)
+        small_batches(spark)
 
     def save(self, df: DataFrame, table: str, codec: str = "zstd") -> DataFrame:
         """Write ``df`` and return a reader of what was written."""
