@@ -212,7 +212,7 @@ def write(df: DataFrame, path: str, vocabulary: str = VOCABULARY, shard_ids: int
 
     ordered = df.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
     shards = ordered.mapInArrow(run, "part int, shard int, before long, n_docs long, n_ids long, payload binary")
-    shards.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    shards.write.mode("overwrite").option("compression", "none").parquet(path)
 
 
 def _decoded(spark: SparkSession, path: str, make: Callable[[Shard, int], pa.RecordBatch], schema: str) -> DataFrame:

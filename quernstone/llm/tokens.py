@@ -22,12 +22,12 @@ _LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 _MARKS = r"""!"#$%&()*+,./:;<=>?@\\^_`{|}~-"""  # not the apostrophe, which begins contractions
 #: A run of letters before blank, newline, marks or the end; the marks after it
 #: if they end the word; a newline before a letter; else white space with what follows.
-_PIECE = re.compile(rf" ?[{_LATIN}]+(?![^ \n{_MARKS}])|[{_MARKS}]+(?![^ \n])|\n(?=[{_LATIN}])|[ \n]*[^ \n]+|[ \n]+")
+_PIECE = re.compile(rf" ?[{_LATIN}]++(?![^ \n{_MARKS}])|[{_MARKS}]++(?![^ \n])|\n(?=[{_LATIN}])|[ \n]*+[^ \n]++|[ \n]++")
 _WORD = re.compile(rf" ?[{_LATIN}]+")
 _ODD_NARROW = ("\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0", "<|")
 _ODD_WIDE = re.compile(r"[^\S \n]")
 #: Pieces that a worker remembers, at about 200 bytes each; then it forgets them all, which gives the memory back.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 600_000
 
 
 class Encoder(dict):
