@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quernstone.llm.shared import WORD, Work, n_words
+from quernstone.llm.shared import WORD, Work, fresh, n_words
 from quernstone.llm.textvec import slices
 
 WEIGHTS = (3, 1, 2)
@@ -141,19 +141,20 @@ def mixed_documents(df: DataFrame, **how) -> DataFrame:
     """The mix itself: a row of ``df``'s columns for every taken copy or part of a document.
 
     A part keeps the text from its first to its last word. Rows that nothing is
-    taken of, such as empty texts, give none.
+    taken of, such as empty texts, give none. No column name of ``df`` is in the way.
     """
     seed = how.get("seed", SEED)
     ident = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    taken = mix(df, **how).select(F.col("_order").alias("_mix_order"), ident.alias("_mix_id"), F.col("size").alias("_mix_size"), F.col("whole").alias("_mix_whole"), F.col("ranges").alias("_mix_ranges"))
+    order, id_, n, k, size, whole, ranges = fresh(df.columns, "_order", "_id", "_n", "_k", "_size", "_whole", "_ranges")
+    renamed = {"_order": order, "size": size, "whole": whole, "ranges": ranges}
+    taken = mix(df, **how).select(ident.alias(id_), *[F.col(a).alias(b) for a, b in renamed.items()])
     # Rows of equal id and text are told apart by number only; both sides are dealt once, by the windows' key.
-    key = ["_mix_order", "_mix_id"]
-    taken = taken.withColumn("_mix_n", F.row_number().over(Window.partitionBy(*key).orderBy("_mix_whole", "_mix_ranges")))
-    own = df.withColumn("_mix_order", F.xxhash64(F.lit(seed), "doc_id", "text")).withColumn("_mix_id", ident)
-    own = own.withColumn("_mix_k", F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))))
-    both = own.join(taken, key).filter(F.col("_mix_k") - F.col("_mix_n") == 0)
-    both = both.filter((F.col("_mix_size") > 0) & ((F.col("_mix_whole") > 0) | (F.size("_mix_ranges") > 0)))
-    both = both.select(*[f"`{c}`" for c in df.columns], "_mix_size", "_mix_whole", "_mix_ranges")
+    taken = taken.withColumn(n, F.row_number().over(Window.partitionBy(order, id_).orderBy(whole, ranges)))
+    own = df.withColumn(order, F.xxhash64(F.lit(seed), "doc_id", "text")).withColumn(id_, ident)
+    own = own.withColumn(k, F.row_number().over(Window.partitionBy(order, id_).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))))
+    both = own.join(taken, [order, id_]).filter(F.col(k) - F.col(n) == 0)
+    both = both.filter((F.col(size) > 0) & ((F.col(whole) > 0) | (F.size(ranges) > 0)))
+    both = both.select(*[f"`{c}`" for c in df.columns], size, whole, ranges)
     columns, at, schema = df.columns, df.columns.index("text"), df.schema
     word = re.compile(WORD)
 

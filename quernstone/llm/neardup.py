@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from quernstone.llm import textvec
 from quernstone.llm.graph import Forest, block_pairs, components, places
-from quernstone.llm.shared import Work, salt_count
+from quernstone.llm.shared import Work, fresh, salt_count
 
 TREES, LEVELS, DEPTH = 16, 8, 4
 #: Neighbourhoods above this size go one level deeper.
@@ -291,7 +291,9 @@ def keep_first(df: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``df`` (all columns) that are the first of their group of near copies.
 
     Texts without words stay. Equal rows of the first document stay once each.
+    No column name of ``df`` is in the way.
     """
-    gone = groups(df, width, percent).filter("doc <> component").select(F.col("doc").alias("_doc"), F.col("th").alias("_th")).distinct()
-    own = df.withColumn("_doc", F.coalesce("doc_id", F.lit(_NULL_ID))).withColumn("_th", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return own.join(gone, ["_doc", "_th"], "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
+    doc, th = fresh(df.columns, "_doc", "_th")
+    gone = groups(df, width, percent).filter("doc <> component").select(F.col("doc").alias(doc), F.col("th").alias(th)).distinct()
+    own = df.withColumn(doc, F.coalesce("doc_id", F.lit(_NULL_ID))).withColumn(th, F.xxhash64(F.coalesce("text", F.lit(""))))
+    return own.join(gone, [doc, th], "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])

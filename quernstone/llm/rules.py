@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm.shared import Work
+from quernstone.llm.shared import Work, fresh
 
 _WS = r"[\x20\x09-\x0D]+"
 _NOT_WS = r"[^\x20\x09-\x0D]"
@@ -56,18 +56,20 @@ def with_metrics(df: DataFrame, text: str = "text") -> DataFrame:
     made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words")
     kept = [F.col(f"`{c}`") for c in df.columns if c not in made]
     t = F.coalesce(F.col(text), F.lit(""))
-    one = df.select(*kept, F.array_remove(F.split(t, _WS), "").alias("_words"), F.filter(F.split(t, "\n"), lambda x: x.rlike(_NOT_WS)).alias("_lines"), F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"))
-    two = one.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
-    span = F.when(F.size("_words") >= WINDOW, F.sequence(F.lit(0), F.size("_words") - WINDOW)).otherwise(F.array().cast("array<int>"))
-    three = two.withColumn("_windows", F.transform(span, lambda i: F.xxhash64(*[F.get(F.col("_hashes"), i + k) for k in range(WINDOW)])))
+    words, lines, hashes, windows = fresh([*df.columns, *made], "_words", "_lines", "_hashes", "_windows")
+    symbols = F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols")
+    one = df.select(*kept, F.array_remove(F.split(t, _WS), "").alias(words), F.filter(F.split(t, "\n"), lambda x: x.rlike(_NOT_WS)).alias(lines), symbols)
+    two = one.withColumn(hashes, F.transform(words, lambda w: F.xxhash64(w)))
+    span = F.when(F.size(words) >= WINDOW, F.sequence(F.lit(0), F.size(words) - WINDOW)).otherwise(F.array().cast("array<int>"))
+    three = two.withColumn(windows, F.transform(span, lambda i: F.xxhash64(*[F.get(F.col(hashes), i + k) for k in range(WINDOW)])))
     return three.select(
         *kept,
-        F.size("_words").cast("long").alias("n_words"),
-        F.char_length(F.array_join("_words", "")).cast("long").alias("word_chars"),
+        F.size(words).cast("long").alias("n_words"),
+        F.char_length(F.array_join(words, "")).cast("long").alias("word_chars"),
         "n_symbols",
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        F.size("_lines").cast("long").alias("n_lines"),
-        _repeated(F.col("_windows"), WINDOW).alias("n_repeat_words"),
+        (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
+        F.size(lines).cast("long").alias("n_lines"),
+        _repeated(F.col(windows), WINDOW).alias("n_repeat_words"),
     )
 
 

@@ -4,6 +4,7 @@ from fractions import Fraction
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quernstone.llm import mixing
 
@@ -61,7 +62,7 @@ def test_documents(spark):
 
 def test_odd_rows(spark):
     rows = [(1, None, "b", 9), (2, "", None, 9), (3, "a b c", None, 1), (3, "a b c", None, 1), (None, "x " * 300, "b", 2), (4, "y " * 9000, "b", 2), (5, "é z", "", 3)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string, size int")
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _size int").withColumn("_order", F.lit("o")).withColumn("whole", F.lit(None))
     got = mixing.mix(df).collect()
     assert len(got) == len(rows)
     check(got)

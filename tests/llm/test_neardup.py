@@ -61,7 +61,7 @@ def test_edits_copies_and_odd_rows(spark):
     rows += [(1000 + i, rows[3][1].upper()) for i in range(30)]
     rows += [(2000, None), (2001, ""), (2002, " \n"), (2003, "One two"), (2004, "one TWO"), (None, "a b"), (2005, "a b c"), (2005, "q r s t"), (2006, "É x y"), (2007, "é x y"), (2008, "z " * 50_000)]
     rng.shuffle(rows)
-    df = spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, node int")
+    df = spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, _doc int")
     assert got(df) == brute(rows)
     assert got(df, width=5, percent=80) == brute(rows, 5, 80)
     assert neardup.digest_rows(df.limit(0)).count() == 0

@@ -22,9 +22,10 @@ TEXTS = [None, "", " \n\t", "a b c", "one line\none line\n\n\nother", "x " * 50,
 
 
 def test_metrics_equal_brute_force(spark):
-    df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(TEXTS * 2)], "doc_id long, text string, n_words string")
+    df = spark.createDataFrame([(i, t, "clash", 1) for i, t in enumerate(TEXTS * 2)], "doc_id long, text string, n_words string, _words int")
     for r in rules.with_metrics(df).collect():
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute(r.text), r.text
+        assert r._words == 1
     assert rules.with_metrics(df.limit(0)).count() == 0
 
 
