@@ -14,6 +14,7 @@ from quernstone.constants import SEGMENT
 from quernstone.errors import InvalidInput
 from quernstone.functions.hashing import ratio
 from quernstone.operators.ordered import running
+from quernstone.operators.tables import written
 
 
 def files_of(df: DataFrame, name: str, payload: str, seq: Column | None = None) -> DataFrame:
@@ -138,7 +139,7 @@ def verify(files: DataFrame, content: DataFrame) -> DataFrame:
 
 def corpus_spans(spans: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Spans of many files as those of one file, in an order that grows with the integer ``key``."""
-    return running(spans, key, order, {}, place="g").select("g", "hash", "len")
+    return running(written(spans.select("hash", "len", *dict.fromkeys([key, *order]))), key, order, {}, place="g").select("g", "hash", "len")
 
 
 def to_dedup_ratio(spans: DataFrame, wanted: float) -> DataFrame:
@@ -151,10 +152,11 @@ def to_dedup_ratio(spans: DataFrame, wanted: float) -> DataFrame:
     """
     if wanted < 1:
         raise InvalidInput("the ratio must be at least 1")
+    spans = written(spans.select("g", "hash", "len"))
     last = spans.agg(F.max("g").alias("_last"))
     body = spans.join(F.broadcast(last), F.col("g") < F.col("_last")).drop("_last")  # one row
     first = body.groupBy("hash").agg(F.min("g").alias("g"), F.min_by("len", "g").alias("len"))
-    ranked = running(first, "g", ["g"], {"upto": "len"}, place="place")
+    ranked = written(running(written(first), "g", ["g"], {"upto": "len"}, place="place"))
     k = ranked.agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("unique")).select(F.expr(f"cast(unique * cast({wanted!r} as double) as bigint)").alias("total"), F.ceil(F.col("n") * (1.0 / F.lit(wanted))).cast("long").alias("repeating"))
     ranked = ranked.crossJoin(F.broadcast(k))  # one row
     rep = ranked.filter("place <= repeating")
