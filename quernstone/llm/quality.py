@@ -18,12 +18,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.llm import textvec
-from quernstone.llm.shared import small_batches
+from quernstone.llm.shared import Work, small_batches
 
 #: The model is fitted on at most so many labelled documents (those of least hash) ...
 FIT_DOCUMENTS = 3000
-#: ... of which so many first lines are used. Scores always use all lines.
-FIT_LINES = 100
+#: ... of which, in order of the hash, as many are used whole as have so many lines together.
+FIT_LINES = 300_000
 HELD_OUT = 1
 _GRAM = 5
 _SHARED = ("upper", "symbol", "mark", "pipe", "digit", "repeat", "gram", "same_line")
@@ -132,6 +132,18 @@ def _padded(ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(real, ptr[:-1, None] + steps[None, :], 0), real
 
 
+def _padded_blocks(ptr: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The same for documents of similar length together, so that a long one pads no others; those without lines are left out."""
+    n, out = np.diff(ptr), []
+    kinds = np.where(n > 0, np.ceil(np.log2(np.maximum(n, 1))), -1)
+    for kind in np.unique(kinds[n > 0]):
+        group = np.flatnonzero(kinds == kind)
+        steps = np.arange(n[group].max())
+        real = steps[None, :] < n[group][:, None]
+        out.append((np.where(real, ptr[group][:, None] + steps[None, :], ptr[group][:, None]), real))
+    return out
+
+
 def marginals(unary: np.ndarray, pair: np.ndarray, at: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Marginals of both labels for each padded line, and summed pair marginals, by forward-backward."""
     docs, steps = at.shape
@@ -231,15 +243,16 @@ def fit(lines: Lines, labels: np.ndarray, steps: int = 150, ridge: float = 1e-3)
     # Both classes weigh the same, so that a rare one isn't ignored.
     balance = np.array([len(labels) / (2 * max(1, (labels == k).sum())) for k in (0, 1)])
     per_doc = balance[labels.astype(int)]
-    at, real = _padded(lines.ptr)
-    flat = at[real]
+    blocks = _padded_blocks(lines.ptr)
     line_weight = np.repeat(per_doc, n)
     total = line_weight.sum()
 
     def grads():
-        m, made = marginals(x @ model.unary, model.pair, at, real)
-        gap = np.empty_like(want)
-        gap[flat] = m[real]
+        scores, made, gap = x @ model.unary, np.zeros((2, 2)), np.empty_like(want)
+        for at, real in blocks:
+            m, own = marginals(scores, model.pair, at, real)
+            made += own
+            gap[at[real]] = m[real]
         gap = (gap - want) * line_weight[:, None]
         return [x.T @ gap / total + ridge * model.unary, (made - pairs) / max(1.0, pairs.sum()) + ridge * model.pair]
 
@@ -263,11 +276,12 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, documents: int = FIT_DOCUMENTS) -> Model:
-    """Fits on a bounded sample: the labelled training rows of least hash, their first lines.
+    """Fits on a bounded sample: the labelled training rows of least hash, their whole texts.
 
     Only ids and labels are ranked; the texts of the chosen ids (at most
-    ``documents``) are joined and turned into features on the executors. Rows
-    with a null id, label or text are no examples.
+    ``documents``) are joined and turned into features on the executors. Where
+    their lines are more than :data:`FIT_LINES`, fewer documents are used, at
+    least that of least hash. Rows with a null id, label or text are no examples.
     """
     small_batches(docs.sparkSession)
     chosen = labels.select("doc_id", "quality").filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out())
@@ -278,9 +292,14 @@ def train(docs: DataFrame, labels: DataFrame, documents: int = FIT_DOCUMENTS) ->
         for b in textvec.slices(batches):
             for i in range(len(b)):
                 f = features([b.column("text")[i].as_py()])
-                yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id").slice(i, 1), "quality": b.column("quality").slice(i, 1).cast(pa.int32()), "x": pa.array([f.x[:FIT_LINES].astype("<f4").tobytes()], pa.binary()), "w": pa.array([f.weight[:FIT_LINES].tobytes()], pa.binary())})
-
-    rows = own.select("doc_id", "quality", "text").mapInArrow(run, "doc_id long, quality int, x binary, w binary").collect()
+                yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id").slice(i, 1), "quality": b.column("quality").slice(i, 1).cast(pa.int32()), "n": pa.array([len(f.x)], pa.int64()), "x": pa.array([f.x.astype("<f4").tobytes()], pa.binary()), "w": pa.array([f.weight.tobytes()], pa.binary())})
+
+    made = own.select("doc_id", "quality", "text").mapInArrow(run, "doc_id long, quality int, n long, x binary, w binary")
+    made = Work(docs.sparkSession, "fit").save(made.withColumn("h", F.xxhash64("doc_id")), "lines")
+    sizes = made.groupBy("h").agg(F.sum("n").alias("n")).orderBy("h").collect()  # at most `documents` rows
+    upto = np.cumsum([r.n for r in sizes])
+    used = max(1, int(np.searchsorted(upto, FIT_LINES, "right")))
+    rows = made.filter(F.col("h") <= sizes[used - 1].h).collect() if sizes else []
     rows.sort(key=lambda r: (r.doc_id, r.quality, bytes(r.x)))
     xs = [np.frombuffer(r.x, "<f4").reshape(-1, N_FEATURES) for r in rows]
     ptr = np.cumsum([0, *map(len, xs)])

@@ -54,3 +54,31 @@ def test_odd_rows(spark):
     assert all(0 <= r.score <= 1 for r in quality.score(docs, one).collect())
     assert quality.keep_good(docs, none).count() == 5
     assert quality.score(docs.limit(0), none).count() == 0
+
+
+def test_fit_uses_all_lines_of_whole_documents(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda lines, labels: seen.append((np.diff(lines.ptr).tolist(), labels.tolist())))
+    long = {i: "\n".join(f"line {i} {k}" for k in range(n)) for i, n in ((1, 3), (7, 250), (8, 40), (2, 7))}
+    docs = spark.createDataFrame(list(long.items()), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in long], "doc_id long, quality int").filter(~quality.held_out())
+    own = {r.doc_id for r in labels.collect()}
+    quality.train(docs, labels)
+    assert own == {1, 7, 8} and sorted(seen[0][0]) == sorted(t.count("\n") + 1 for i, t in long.items() if i in own)
+    monkeypatch.setattr(quality, "FIT_LINES", 1)
+    quality.train(docs, labels)
+    assert len(seen[1][0]) == 1 and seen[1][0][0] in seen[0][0]
+
+
+def test_long_documents_pad_no_others():
+    rng = np.random.default_rng(1)
+    ptr = np.cumsum([0, 3, 0, 700, 1, 2, 9])
+    unary, pair = rng.normal(size=(ptr[-1], 2)), rng.normal(size=(2, 2))
+    at, real = quality._padded(ptr)
+    want, want_pairs = quality.marginals(unary, pair, at, real)
+    got, pairs = np.zeros((ptr[-1], 2)), np.zeros((2, 2))
+    for at2, real2 in quality._padded_blocks(ptr):
+        m, own = quality.marginals(unary, pair, at2, real2)
+        got[at2[real2]] = m[real2]
+        pairs += own
+    assert np.allclose(got[at[real]], want[real]) and np.allclose(pairs, want_pairs)
