@@ -81,3 +81,14 @@ def test_pack(stages):
 
 def test_run(spark, stages):
     assert rows(corpus_pipeline.run(spark, SF).drop("sequence_id", "offset")) == rows(stages[-1][1].drop("sequence_id", "offset"))
+
+
+def test_sequences_can_be_rebuilt(stages):
+    before, after = stages[4]
+    enc, want = encoder(packing.VOCABULARY), Counter()
+    for r in before.collect():
+        ids = [*enc.encode([r.text])[0].tolist(), packing.END_ID]
+        want.update(tuple(ids[k : k + 4096]) for k in range(0, len(ids), 4096))
+    whole = {r.sequence_id: r.ids for r in packing.assemble(after).collect()}
+    got = Counter(tuple(whole[r.sequence_id][r.offset : r.offset + r.length]) for r in after.select("sequence_id", "offset", "length").collect())
+    assert got == want and sum(map(len, whole.values())) == sum(len(k) * n for k, n in want.items())
