@@ -1,11 +1,12 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment of word blocks.
 
 A source's words, in a seeded order of its documents, form streams (shards) cut
-into blocks of equal size. Blocks are apportioned to sources by highest
-quotients, then a source's blocks to its shards; a shard with ``n`` blocks and
-quota ``q`` gives every block ``q div n`` times and, from a seeded start on,
-``q mod n`` neighbouring blocks once more. What a document gives follows from
-its place in the stream, so no row per block is ever made.
+into blocks of equal size, small enough for the source of the least target.
+Blocks are apportioned to sources by highest quotients, then a source's blocks
+to its shards. A shard gives the words of its quota: its whole stream as often as
+that goes, then, from the seeded start of a block on, as many neighbouring blocks
+as are left, round the end of the stream. What a document gives follows from its
+place in the stream, so no row per block is ever made.
 """
 
 from __future__ import annotations
@@ -27,7 +28,8 @@ WEIGHTS = (3, 1, 2)
 #: Share of all words that the mix takes, and how often a word may be taken.
 SHARE = Fraction(3, 2)
 MOST_REPEATS = 2
-BLOCK_WORDS = 64
+#: Most words in a block, and in how many blocks at least the least target is counted out.
+BLOCK_WORDS, LEAST_BLOCKS = 64, 32
 #: A shard holds about so many words until a source has the most shards; then its shards grow.
 SHARD_WORDS = 1 << 18
 MOST_SHARDS = 4096
@@ -80,16 +82,22 @@ def _key(source: str | None) -> str:
     return "" if source is None else f"={source}"
 
 
-def plan(totals: dict[str | None, int], weights: Sequence[int] = WEIGHTS, share: Fraction = SHARE, most: int = MOST_REPEATS, block: int = BLOCK_WORDS) -> list[tuple[str, int, float, int, int]]:
-    """``(key, size, target, blocks, shards)`` of every source, by code point, null last."""
+def block_words(wanted: Sequence[Fraction]) -> int:
+    """Words in a block: :data:`BLOCK_WORDS`, or fewer where a target is small, down to one."""
+    return max(1, min([BLOCK_WORDS, *(int(t / LEAST_BLOCKS) for t in wanted if t > 0)]))
+
+
+def plan(totals: dict[str | None, int], weights: Sequence[int] = WEIGHTS, share: Fraction = SHARE, most: int = MOST_REPEATS) -> tuple[int, list[tuple[str, int, float, int, int]]]:
+    """The block's words, and ``(key, size, target, blocks, shards)`` of every source, by code point, null last."""
     order = sorted(totals, key=lambda s: (s is None, s or ""))
     sizes = [totals[s] for s in order]
     wanted = targets(sizes, [weights[i % len(weights)] for i in range(len(order))], share, most)
-    blocks = sainte_lague(wanted, round(sum(wanted) / block), [most * -(-n // block) for n in sizes])
-    return [(_key(s), n, float(t), q, min(MOST_SHARDS, max(1, -(-n // SHARD_WORDS)))) for s, n, t, q in zip(order, sizes, wanted, blocks, strict=True)]
+    block = block_words(wanted)
+    blocks = sainte_lague(wanted, round(sum(wanted) / block), [-(-most * n // block) for n in sizes])
+    return block, [(_key(s), n, float(t), q, min(MOST_SHARDS, max(1, -(-n // SHARD_WORDS)))) for s, n, t, q in zip(order, sizes, wanted, blocks, strict=True)]
 
 
-def mix(df: DataFrame, weights: Sequence[int] = WEIGHTS, share: Fraction = SHARE, most: int = MOST_REPEATS, block: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
+def mix(df: DataFrame, weights: Sequence[int] = WEIGHTS, share: Fraction = SHARE, most: int = MOST_REPEATS, seed: int = SEED) -> DataFrame:
     """Every row of ``df(doc_id, text, source)`` with what the mix takes of it.
 
     Adds ``size``, ``source_size`` (long), ``target`` (double, its source's),
@@ -105,7 +113,7 @@ def mix(df: DataFrame, weights: Sequence[int] = WEIGHTS, share: Fraction = SHARE
     sized = df.select("doc_id", key.alias("_key"), n_words(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("_order"))
     sized = work.save(sized, "sizes")
     totals = {None if k == "" else k[1:]: n for k, n in sized.groupBy("_key").agg(F.sum("size")).collect()}
-    rows = plan(totals, weights, share, most, block)
+    block, rows = plan(totals, weights, share, most)
     sources = spark.createDataFrame(rows, "_key string, source_size long, target double, _blocks long, _shards long")
     few = len(rows) <= FEW_SOURCES
     placed = sized.join(F.broadcast(sources) if few else sources, "_key").withColumn("_shard", F.pmod(F.xxhash64(F.lit(seed + 1), "_order"), F.col("_shards")))
@@ -113,7 +121,7 @@ def mix(df: DataFrame, weights: Sequence[int] = WEIGHTS, share: Fraction = SHARE
     def quotas(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("_shard")
         n = [int(x) for x in group["_words"]]
-        q = sainte_lague(n, int(group["_blocks"].iloc[0]), [most * -(-x // block) for x in n])
+        q = sainte_lague(n, int(group["_blocks"].iloc[0]), [-(-most * x // block) for x in n])
         return group.assign(_quota=q)[["_key", "_shard", "_words", "_quota"]]
 
     shards = placed.groupBy("_key", "_shard", "_blocks").agg(F.sum("size").alias("_words"))
@@ -122,17 +130,19 @@ def mix(df: DataFrame, weights: Sequence[int] = WEIGHTS, share: Fraction = SHARE
     here = Window.partitionBy("_key", "_shard").orderBy("_order", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     run = placed.withColumn("_to", F.sum("size").over(here)).withColumn("_from", F.col("_to") - F.col("size"))
     run = run.join(shards, ["_key", "_shard"])
-    n = F.greatest(F.ceil(F.col("_words") / block).cast("long"), F.lit(1))
-    run = run.select("*", n.alias("_n")).withColumn("whole", F.expr("cast(_quota div _n as int)"))
-    run = run.withColumn("_first", F.pmod(F.xxhash64(F.lit(seed + 2), "_key", "_shard"), F.col("_n"))).withColumn("_last", F.col("_first") + F.expr("_quota % _n"))
+    # The quota in words; a last block that is short counts for the words it has.
+    run = run.withColumn("_quota", F.least(F.col("_quota") * block, F.col("_words") * most)).withColumn("_n", F.greatest("_words", F.lit(1).cast("long")))
+    run = run.withColumn("whole", F.expr("cast(_quota div _n as int)"))
+    start = F.pmod(F.xxhash64(F.lit(seed + 2), "_key", "_shard"), F.ceil(F.col("_n") / block)) * block
+    run = run.withColumn("_first", start).withColumn("_last", F.col("_first") + F.expr("_quota % _n"))
 
     def cut(a: Column, b: Column) -> Column:
         """The document's part of the stream's words from a to b, in its own words."""
         lo, hi = F.greatest(a, F.col("_from")), F.least(b, F.col("_to"))
         return F.when(lo < hi, F.struct((lo - F.col("_from")).alias("start"), (hi - F.col("_from")).alias("end")))
 
-    wrapped = cut(F.lit(0).cast("long"), F.greatest(F.col("_last") - F.col("_n"), F.lit(0)) * block)
-    run = run.withColumn("ranges", F.array_compact(F.array(wrapped, cut(F.col("_first") * block, F.col("_last") * block))))
+    wrapped = cut(F.lit(0).cast("long"), F.greatest(F.col("_last") - F.col("_n"), F.lit(0)))
+    run = run.withColumn("ranges", F.array_compact(F.array(wrapped, cut(F.col("_first"), F.least("_last", "_n")))))
     extra = F.aggregate("ranges", F.lit(0).cast("long"), lambda a, r: a + r["end"] - r["start"])
     return run.withColumn("taken", F.col("size") * F.col("whole") + extra).select("doc_id", "_order", "size", "source_size", "target", "taken", "whole", "ranges")
 

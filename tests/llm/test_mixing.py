@@ -1,3 +1,4 @@
+import random
 import re
 from collections import defaultdict
 from fractions import Fraction
@@ -41,7 +42,7 @@ def check(rows):
         assert r.taken == r.whole * r.size + sum(x["end"] - x["start"] for x in r.ranges)
         by[r.source_size, r.target].append(r)
     for (size, target), own in by.items():
-        assert abs(sum(r.taken for r in own) - target) <= 2 * mixing.BLOCK_WORDS * (1 + size // mixing.SHARD_WORDS)
+        assert abs(sum(r.taken for r in own) - target) <= max(2, min(mixing.BLOCK_WORDS, target / mixing.LEAST_BLOCKS)) * (1 + size // mixing.SHARD_WORDS)
 
 
 def test_documents(spark):
@@ -69,3 +70,41 @@ def test_odd_rows(spark):
     assert mixing.mix(df.limit(0)).count() == 0 and mixing.mixed_documents(df.limit(0)).count() == 0
     out = mixing.mixed_documents(df)
     assert sum(len(r.text.split()) for r in out.collect()) == sum(r.taken for r in got)
+
+
+def test_small_sources_meet_their_targets(spark):
+    sizes = {"a": 10, "b": 1000, "c": 20, "d": 3}
+    rows = [(1000 * k + i, " ".join(["w"] * min(7, n - at)), s) for k, (s, n) in enumerate(sizes.items()) for i, at in enumerate(range(0, n, 7))]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    taken, target = defaultdict(int), {}
+    for r in got:
+        s = rows[[x[0] for x in rows].index(r.doc_id)][2]
+        taken[s] += r.taken
+        target[s] = r.target
+        assert r.source_size == sizes[s] and r.taken <= 2 * r.size
+    # By hand: 1,549.5 words at weights 3, 1, 2, 3; a, c and d stop at twice their size, b takes the rest.
+    assert target == {"a": 20, "b": 1483.5, "c": 40, "d": 6}
+    assert all(abs(taken[s] - t) <= 1 for s, t in target.items())
+
+
+def test_taken_rebuilt_from_the_plan(spark):
+    """Every word is numbered in the seeded order of its shard, and dealt out one at a time."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(["w"] * rng.randrange(40)), rng.choice(["x", "y", "z", None])) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in mixing.mix(df).collect()}
+    order = {r.doc_id: r.o for r in df.select("doc_id", F.xxhash64(F.lit(mixing.SEED), "doc_id", "text").alias("o")).collect()}
+    totals = defaultdict(int)
+    for _, t, s in rows:
+        totals[s] += len(t.split())
+    block, planned = mixing.plan(dict(totals))
+    for key, size, target, blocks, shards in planned:
+        assert shards == 1
+        own = sorted((r[0] for r in rows if mixing._key(r[2]) == key), key=lambda d: (order[d], d))
+        words = [d for d in own for _ in range(got[d].size)]
+        seeded = spark.range(1).select(F.xxhash64(F.lit(mixing.SEED + 2), F.lit(key), F.lit(0).cast("long"))).first()[0]
+        at, count = seeded % -(-size // block) * block, defaultdict(int)
+        for k in range(min(blocks * block, 2 * size)):
+            count[words[(at + k) % size]] += 1
+        assert {d: got[d].taken for d in own} == {d: count[d] for d in own}
+        assert {(got[d].source_size, got[d].target) for d in own} == {(size, target)}

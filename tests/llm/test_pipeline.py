@@ -58,7 +58,7 @@ def test_mix(stages):
     size, source = defaultdict(int), {r.doc_id: r.source for r in before.collect()}
     for r in before.collect():
         size[r.source] += len(re.findall(mixing.WORD, r.text))
-    target = {k: t for k, _, t, _, _ in mixing.plan(dict(size))}
+    target = {k: t for k, _, t, _, _ in mixing.plan(dict(size))[1]}
     taken, original = defaultdict(int), {r.doc_id: r.text for r in before.collect()}
     for r in after.collect():
         taken[source[r.doc_id]] += len(re.findall(mixing.WORD, r.text))
