@@ -1,16 +1,18 @@
 """Token-id shards compressed by Re-Pair grammars, in a binary format with random access.
 
 Documents in ascending ``doc_id`` order (null first) are cut into shards. In a
-shard the most frequent id pairs are repeatedly replaced by nonterminals; one
-round replaces many pairs at once, at positions that do not overlap, and never
-across the end of a document. A shard is a row of a Parquet table, so that
+shard the most frequent id pairs are replaced by nonterminals, again and again
+until no pair is left that saves space; a round replaces the pairs of the
+highest counts together, where matches overlap the more frequent one. No rule
+goes across the end of a document. A shard is a row of a Parquet table, so that
 Spark's committer and retries keep it whole; its payload is the format below.
 
-Payload, little endian: ``RPG1``, then ``docs, ids, rules, symbols`` as four
-unsigned 64-bit integers; per rule its two symbols (u16) and its expansion
+Payload, little endian: ``RPG2``, then ``docs, ids, letters, rules, symbols,
+width`` as six unsigned 64-bit integers; the letters (token ids that occur, u16,
+ascending); per rule its two symbols (``width`` bytes each) and its expansion
 length (u32); per document its id (i64), a null flag (u8), its ids before it in
-the shard and the place of its first symbol (u64 each); the symbols (u16).
-Symbols below :data:`FIRST_RULE` are token ids, the others rules in order.
+the shard and the place of its first symbol (u64 each); the symbols (``width``
+bytes). Symbols below ``letters`` are letters by rank, the others rules in order.
 """
 
 from __future__ import annotations
@@ -29,122 +31,115 @@ from quernstone.llm.tokens import encoder
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
-FIRST_RULE = 50_257
-MAGIC = b"RPG1"
+MAGIC = b"RPG2"
 #: A shard is closed once it holds this many ids; a longer document stands alone.
 SHARD_IDS = 1 << 20
-ROUNDS = 5
-RULES_A_ROUND = 3000
-#: A pair must occur so often for a rule to save space.
-LEAST_COUNT = 8
-_HASH_BITS = 16
+#: A rule takes eight bytes and each use saves two, so a pair must occur so often to save space.
+LEAST_COUNT = 5
+#: The counts that a round takes go down by this factor from round to round.
+STEP = 8
+_HASH_BITS = 18
 
 
-def _pick(codes: np.ndarray, rules: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent pair codes, at most one for each hash place; and that table."""
-    table = np.full(1 << _HASH_BITS, 0xFFFFFFFF, np.uint32)
+def _place(codes: np.ndarray) -> np.ndarray:
+    if codes.dtype == np.uint32:
+        return (codes * np.uint32(2654435761)) >> np.uint32(32 - _HASH_BITS)
+    return (codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _HASH_BITS)
+
+
+def _pick(codes: np.ndarray, least: int) -> np.ndarray:
+    """Codes that occur ``least`` times, the most frequent first; one whose hash place is taken waits for the next round."""
     ordered = np.sort(codes)
     first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.empty(0, np.int64)
     counts = np.diff(np.append(first, len(ordered)))
-    often = np.flatnonzero(counts >= LEAST_COUNT)
-    often = often[np.lexsort((ordered[first[often]], -counts[often]))]
+    often = np.flatnonzero(counts >= least)
+    often = often[np.argsort(-counts[often], kind="stable")]
     pairs = ordered[first[often]]
     _, free = np.unique(_place(pairs), return_index=True)
-    pairs = pairs[np.sort(free)[:rules]]
-    table[_place(pairs)] = pairs
-    return pairs, table
+    return pairs[np.sort(free)]
 
 
-def _place(codes: np.ndarray) -> np.ndarray:
-    return (codes * np.uint32(2654435761)) >> np.uint32(32 - _HASH_BITS)
-
-
-def compress(ids: np.ndarray, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
-    """Rules (pairs of symbols) and the symbols that they leave. No rule holds ``end_id`` before its end."""
-    seq, rules = ids.astype(np.uint16), []
-    most = (1 << 16) - FIRST_RULE
-    ends = np.zeros(1 << 16, bool)  # symbols whose expansion ends a document
-    ends[end_id] = True
-    for _ in range(ROUNDS):
-        made = sum(map(len, rules))
-        if len(seq) < 2 or made >= most:
-            break
-        codes = seq[:-1].astype(np.uint32) << np.uint32(16) | seq[1:]
-        inside = ~ends[seq[:-1]]
-        pairs, table = _pick(codes[inside], min(RULES_A_ROUND, most - made))
+def _twins(seq: np.ndarray) -> np.ndarray:
+    """Places of pairs of one symbol that overlap the pair before: every other one in a run."""
+    twin = np.flatnonzero(seq[:-1] == seq[1:])
+    if not len(twin):
+        return twin
+    new = np.concatenate([[True], np.diff(twin) > 1])
+    run = twin[np.flatnonzero(new)][np.cumsum(new) - 1]
+    return twin[(twin - run) % 2 == 1]
+
+
+def compress(seq: np.ndarray, letters: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rules (pairs of symbols), their expansion lengths, and the symbols that are left.
+
+    ``seq`` has symbols below ``letters``. No rule holds ``end`` before its last
+    place. In the end no pair is left that occurs :data:`LEAST_COUNT` times.
+    """
+    seq = seq.astype(np.uint32)
+    names, least = letters, len(seq)
+    rules: list[np.ndarray] = []
+    size, ends = np.ones(letters, np.int64), np.arange(letters) == end
+    while len(seq) > 1:
+        kind, bits = (np.uint32, 16) if names <= 1 << 16 else (np.uint64, 32)
+        codes = seq[:-1].astype(kind) << kind(bits) | seq[1:].astype(kind)
+        free = ~ends[seq[:-1]]
+        free[_twins(seq)] = False
+        least = max(LEAST_COUNT, least // STEP)
+        pairs = _pick(codes[free], least)
         if not len(pairs):
+            if least > LEAST_COUNT:
+                continue
             break
-        match = (table[_place(codes)] == codes) & inside
-        at = np.flatnonzero(match)
-        fresh = np.concatenate([[True], np.diff(at) > 1])
-        run = at[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
-        at = at[(at - run) % 2 == 0]  # in a run of overlapping matches every other one
-        names = np.zeros(1 << _HASH_BITS, np.uint16)
-        names[_place(pairs)] = FIRST_RULE + made + np.arange(len(pairs))
-        seq = seq.copy()
-        seq[at] = names[_place(codes[at])]
+        table, taken = np.zeros(1 << _HASH_BITS, np.int32), np.zeros(1 << _HASH_BITS, bool)
+        place = _place(pairs)
+        table[place], taken[place] = np.arange(len(pairs)), True
+        at = np.flatnonzero(taken[_place(codes)] & free)
+        rank = table[_place(codes[at])]
+        same = pairs[rank] == codes[at]
+        at, rank = at[same], rank[same]
+        # Of overlapping matches the more frequent pair; the other may be taken in a later round.
+        close = np.diff(at) == 1
+        lead = np.ones(len(at), bool)
+        lead[1:] &= ~close | (rank[1:] < rank[:-1])
+        lead[:-1] &= ~close | (rank[:-1] < rank[1:])
+        at, rank = at[lead], rank[lead]
+        use = np.bincount(rank, minlength=len(pairs)) >= LEAST_COUNT  # true of the first
+        at, rank = at[use[rank]], rank[use[rank]]
+        two = np.stack([pairs[use] >> kind(bits), pairs[use] & kind((1 << bits) - 1)], 1).astype(np.uint32)
+        seq[at] = (names + np.cumsum(use) - 1)[rank]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq = seq[keep]
-        two = np.stack([pairs >> np.uint32(16), pairs & np.uint32(0xFFFF)], 1).astype(np.uint16)
-        ends[FIRST_RULE + made : FIRST_RULE + made + len(pairs)] = ends[two[:, 1]]
+        size, ends = np.concatenate([size, size[two].sum(1)]), np.concatenate([ends, ends[two[:, 1]]])
+        names += len(two)
         rules.append(two)
-    return np.concatenate(rules) if rules else np.empty((0, 2), np.uint16), seq
-
-
-def lengths_of(rules: np.ndarray) -> np.ndarray:
-    """Number of ids that each symbol stands for."""
-    out = np.ones(1 << 16, np.int64)
-    for k, (a, b) in enumerate(rules.tolist()):
-        out[FIRST_RULE + k] = out[a] + out[b]
-    return out
-
-
-def expand(symbols: np.ndarray, rules: np.ndarray) -> np.ndarray:
-    """Ids of a symbol sequence: the rules are expanded once, then every symbol is looked up."""
-    if len(symbols) < 2 * len(rules):
-        return _unfold(symbols, rules)
-    size = lengths_of(rules)
-    flat = np.concatenate([np.arange(FIRST_RULE, dtype=np.uint16), _unfold(np.arange(FIRST_RULE, FIRST_RULE + len(rules)).astype(np.uint16), rules)])
-    first = np.cumsum(size) - size
-    wide = size[symbols]
-    ends = np.cumsum(wide)
-    at = np.arange(int(ends[-1]) if len(ends) else 0)
-    return flat[at + np.repeat(first[symbols] - (ends - wide), wide)]
-
-
-def _unfold(symbols: np.ndarray, rules: np.ndarray) -> np.ndarray:
-    """Every pass replaces each nonterminal by its two symbols."""
-    while len(big := np.flatnonzero(symbols >= FIRST_RULE)):
-        width = np.ones(len(symbols), np.int64)
-        width[big] = 2
-        at = np.cumsum(width) - width
-        out = np.empty(int(width.sum()), np.uint16)
-        out[at] = symbols
-        pair = rules[symbols[big] - FIRST_RULE]
-        out[at[big]], out[at[big] + 1] = pair[:, 0], pair[:, 1]
-        symbols = out
-    return symbols
+    return np.concatenate([np.empty((0, 2), np.uint32), *rules]), size[letters:], seq
 
 
-def encode_shard(doc_ids: list[int | None], docs: list[np.ndarray]) -> bytes:
+def encode_shard(doc_ids: list[int | None], docs: list[np.ndarray], end_id: int = END_ID) -> bytes:
     """The payload of some documents, whose ids end with the end id."""
     ids = np.concatenate(docs) if docs else np.empty(0, np.uint16)
-    rules, symbols = compress(ids)
-    size = lengths_of(rules)
+    letters = np.flatnonzero(np.bincount(ids, minlength=1 << 16))
+    rank = np.zeros(1 << 16, np.uint32)
+    rank[letters] = np.arange(len(letters))
+    end = int(np.searchsorted(letters, end_id))  # of no letter if the end id does not occur
+    rules, sizes, symbols = compress(rank[ids], len(letters), end if end < len(letters) and letters[end] == end_id else -1)
+    wide = np.concatenate([np.ones(len(letters), np.int64), sizes])[symbols]
     starts = np.cumsum([0, *map(len, docs)])[:-1]
-    places = np.searchsorted(np.cumsum(size[symbols]), starts, "right")
-    head = np.array([len(docs), len(ids), len(rules), len(symbols)], "<u8")
-    parts = [head, rules.astype("<u2"), size[FIRST_RULE : FIRST_RULE + len(rules)].astype("<u4"), np.array([d or 0 for d in doc_ids], "<i8"), np.array([d is None for d in doc_ids], "u1"), starts.astype("<u8"), places.astype("<u8"), symbols.astype("<u2")]
+    places = np.searchsorted(np.cumsum(wide), starts, "right")
+    width = 2 if len(letters) + len(rules) <= 1 << 16 else 4
+    head = np.array([len(docs), len(ids), len(letters), len(rules), len(symbols), width], "<u8")
+    parts = [head, letters.astype("<u2"), rules.astype(f"<u{width}"), sizes.astype("<u4"), np.array([d or 0 for d in doc_ids], "<i8"), np.array([d is None for d in doc_ids], "u1"), starts.astype("<u8"), places.astype("<u8"), symbols.astype(f"<u{width}")]
     return MAGIC + b"".join(p.tobytes() for p in parts)
 
 
 @dataclass
 class Shard:
-    """A payload read back; documents are decoded one by one."""
+    """A payload read back; documents, or any range of their ids, are decoded alone."""
 
     doc_ids: list[int | None]
     starts: np.ndarray
+    letters: np.ndarray
     rules: np.ndarray
     sizes: np.ndarray
     places: np.ndarray
@@ -163,26 +158,73 @@ class Shard:
             at += out.nbytes
             return out
 
-        docs, n_ids, n_rules, n_symbols = map(int, take("<u8", 4))
-        rules, sizes = take("<u2", 2 * n_rules).reshape(-1, 2), take("<u4", n_rules)
+        docs, n_ids, n_letters, n_rules, n_symbols, width = map(int, take("<u8", 6))
+        letters, rules = take("<u2", n_letters), take(f"<u{width}", 2 * n_rules).reshape(-1, 2)
+        sizes = np.concatenate([np.ones(n_letters, np.int64), take("<u4", n_rules)])
         ids, null = take("<i8", docs).tolist(), take("u1", docs).tolist()
         starts, places = take("<u8", docs).astype(np.int64), take("<u8", docs).astype(np.int64)
-        return cls([None if x else d for d, x in zip(ids, null, strict=True)], starts, rules, sizes, places, take("<u2", n_symbols), n_ids)
+        return cls([None if x else d for d, x in zip(ids, null, strict=True)], starts, letters, rules, sizes, places, take(f"<u{width}", n_symbols), n_ids)
+
+    def expand(self, symbols: np.ndarray) -> np.ndarray:
+        """Ids of a symbol sequence. Expansion lengths tell where each half of a rule begins, so every rule is undone in its place."""
+        wide = self.sizes[symbols]
+        at = np.cumsum(wide) - wide
+        out = np.empty(int(wide.sum()), np.uint32)
+        out[at] = symbols
+        first = len(self.letters)
+        at = at[symbols >= first]
+        while len(at):
+            two = self.rules[out[at] - first]
+            left, right = two[:, 0], two[:, 1]
+            there = at + self.sizes[left]
+            out[at], out[there] = left, right
+            at = np.concatenate([at[left >= first], there[right >= first]])
+        return self.letters[out]
+
+    def ids(self, start: int, end: int) -> np.ndarray:
+        """Ids ``start`` to ``end`` of the shard: only the symbols that reach into the range are read, and of those at its ends only the halves that do."""
+        start, end = max(0, start), min(end, self.n_ids)
+        if start >= end:
+            return self.letters[:0]
+        k = int(np.searchsorted(self.starts, start, "right")) - 1
+        z = int(np.searchsorted(self.starts, end, "left"))
+        symbols = self.symbols[self.places[k] : self.places[z] if z < len(self.places) else len(self.symbols)]
+        upto = self.starts[k] + np.cumsum(self.sizes[symbols])
+        i, j = int(np.searchsorted(upto, start, "right")), int(np.searchsorted(upto, end, "left"))
+        before = int(upto[i] - self.sizes[symbols[i]])
+        inner = symbols[i : j + 1].tolist()
+        inner, before = self._cut(inner, before, start)
+        inner = self._cut(inner[::-1], int(upto[j]), end, back=True)[0][::-1]
+        return self.expand(np.array(inner, np.int64))
+
+    def _cut(self, symbols: list[int], at: int, to: int, back: bool = False) -> tuple[list[int], int]:
+        """Symbols without their ids before ``to`` (after it, if ``back``), of a sequence that begins (ends, reversed) at ``at``."""
+        rest = symbols[::-1]
+        while at != to:
+            s = rest.pop()
+            n = int(self.sizes[s])
+            if n <= abs(to - at):
+                at += -n if back else n
+            else:
+                a, b = map(int, self.rules[s - len(self.letters)])
+                rest += [a, b] if back else [b, a]
+        return rest[::-1], at
 
     def document(self, k: int) -> np.ndarray:
         """Ids of the ``k``-th document, from its own symbols only."""
-        end = self.places[k + 1] if k + 1 < len(self.places) else len(self.symbols)
-        return expand(self.symbols[self.places[k] : end], self.rules)
+        return self.ids(int(self.starts[k]), int(self.starts[k + 1]) if k + 1 < len(self.starts) else self.n_ids)
 
     def all(self) -> list[np.ndarray]:
-        return np.split(expand(self.symbols, self.rules), self.starts[1:]) if self.doc_ids else []
+        return np.split(self.expand(self.symbols), self.starts[1:]) if self.doc_ids else []
 
 
 def write(df: DataFrame, path: str, vocabulary: str = VOCABULARY, shard_ids: int = SHARD_IDS) -> None:
     """Write the shards of ``df(doc_id, text)`` at ``path``; null text counts as empty.
 
-    Equal ``doc_id`` rows stay apart, in any order. One range shuffle of the
-    texts; a task holds one shard and one batch.
+    Rows of one ``doc_id`` stay apart, in the order of a hash of their text, so
+    that reruns agree; other columns are left out. One range shuffle of the texts,
+    dealt by id and that hash, so that one id's rows are not one task's; a task
+    holds one shard and one batch.
     """
     n = salt_count(df.sparkSession)
 
@@ -210,7 +252,8 @@ def write(df: DataFrame, path: str, vocabulary: str = VOCABULARY, shard_ids: int
         if held:
             yield close()
 
-    ordered = df.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    keyed = df.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    ordered = keyed.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
     shards = ordered.mapInArrow(run, "part int, shard int, before long, n_docs long, n_ids long, payload binary")
     shards.write.mode("overwrite").option("compression", "none").parquet(path)
 
@@ -242,12 +285,16 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def digest_rows(df: DataFrame) -> DataFrame:
-    """Writes the shards of ``df`` and describes every document as read back from them."""
+    """Writes the shards of ``df(doc_id, text)`` and describes every document as read back from them.
+
+    A null or empty text has the end id only; a null ``doc_id`` comes first; rows
+    of one id are described one by one; no rows give none.
+    """
     path = f"{Work(df.sparkSession, 'grammar').path}/shards"
     write(df, path)
 
     def make(s: Shard, before: int) -> pa.RecordBatch:
-        raw = memoryview(expand(s.symbols, s.rules).astype("<u4").tobytes())
+        raw = memoryview(s.expand(s.symbols).astype("<u4").tobytes())
         ends = [*s.starts[1:].tolist(), s.n_ids]
         crcs = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(s.starts.tolist(), ends, strict=True)]
         return pa.RecordBatch.from_pydict({"doc_id": pa.array(s.doc_ids, pa.int64()), "start": pa.array(before + s.starts), "n_tokens": pa.array(np.diff([*s.starts, s.n_ids])), "ids_crc32": pa.array(crcs, pa.int64())})
