@@ -21,9 +21,11 @@ from pyspark.sql import DataFrame
 from quernstone.llm.shared import small_batches
 
 # Element names of the HTML standard by their role.
-RAW = frozenset("script style noscript template iframe svg math object canvas audio video head title".split())
+RAW = frozenset("script style noscript template iframe head title".split())
+#: Their content is skipped too, but only if they are closed.
+EMBEDDED = frozenset("svg object canvas audio video".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br img".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br img math mrow mi mo mn ms mtext mfrac msup msub msubsup msqrt mroot semantics annotation".split())
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
 SAME_CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"thead", "tr", "td", "th"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "option": {"select"}, "p": {"article", "body", "div", "section", "td", "li"}}
@@ -78,7 +80,8 @@ def parse(html: str | None) -> Dom:
     """The block tree of a page; null and text without markup give a root with at most one run.
 
     Unclosed, misnested and cut-off markup is repaired as browsers do in the
-    common cases. Raw elements (scripts, styles, the head) and comments leave nothing.
+    common cases. Raw elements (scripts, styles, the head) and comments leave nothing,
+    nor do embedded objects that are closed; formulas count as text.
     """
     s, d = html or "", Dom()
     tags: list[str] = []
@@ -102,7 +105,7 @@ def parse(html: str | None) -> Dom:
     def close_run() -> None:
         nonlocal link
         if run:
-            text = " ".join(unescape("".join(run)).split())
+            text = " ".join("".join(run).split())
             run.clear()
             if text:
                 i = open_node(0, 0, text, min(link, len(text)))
@@ -129,11 +132,12 @@ def parse(html: str | None) -> Dom:
     while at < n:
         lt = s.find("<", at)
         if lt < 0 or lt == n - 1:
-            run.append(s[at:])
+            run.append(unescape(s[at:]))
             link += in_link and n - at
             break
         if lt > at:
-            run.append(s[at:lt])
+            # Each piece by itself: markup within a character reference ends it.
+            run.append(unescape(s[at:lt]))
             link += in_link and lt - at
         c = s[lt + 1]
         if c == "!" or c == "?":
@@ -178,6 +182,12 @@ def parse(html: str | None) -> Dom:
                 if name == "p" and tags[k] in SCOPE["p"]:
                     break
             continue
+        if name in EMBEDDED:
+            e = None if attrs.endswith("/") else re.compile(rf"</{name}(?=[\s/>])", re.I).search(s, at)
+            if e:
+                z = s.find(">", e.end())
+                at = n if z < 0 else z + 1
+            continue
         if name in RAW:
             if not attrs.endswith("/") or name in ("script", "style"):
                 e = re.compile(rf"</{name}(?=[\s/>])", re.I).search(s, at)
@@ -271,6 +281,7 @@ def features(doms: list[Dom]) -> np.ndarray:
         log(below((kind == KINDS.index("item")).astype(float))), log(below((kind == KINDS.index("control")).astype(float))),
         (below(((kind == KINDS.index("article")) | (kind == KINDS.index("main"))).astype(float)) > 0).astype(float),
         below(chars * under_flag) / (text + 1), (below(flagged.astype(float)) > 0).astype(float), kind[up], links[up] / (text[up] + 1), log(text[up]), leaf & (kind[up] == KINDS.index("heading")),
+        log(below(flagged.astype(float))[first]), (below(chars * under_flag) / (text + 1))[first], (below(((kind == KINDS.index("article")) | (kind == KINDS.index("main"))).astype(float)) > 0)[first].astype(float), log(leaves)[first],
     ]
     cols += [kind == k for k in range(len(KINDS))]
     for k in range(len(TOKENS)):

@@ -1,7 +1,9 @@
 """Made-up pages with known main text, and the boosted trees fitted on them.
 
 The maker varies layout, element names, attribute tokens, lengths, broken
-markup and where the article stands, so that no single sign decides.
+markup and where the article stands, so that no single sign decides. Some pages
+have nothing but the article, as markup or as plain text, and some articles have
+class names that announce something else.
 """
 
 from __future__ import annotations
@@ -71,16 +73,28 @@ class Maker:
         }
         return made[where]()
 
-    def article(self) -> str:
+    def misled(self) -> str:
+        """An attribute that announces other things than the article that it is on."""
+        return self.attrs(self.r.choice(["side", "head", "share", "nav", "ad", "form", "foot", "notice"]), 1.0)
+
+    def article(self, bare: bool = False) -> str:
         r, mark, parts = self.r, _MARK, []
         title = self.words(2, 14, mark)
-        if r.random() < 0.9:
+        if r.random() < (0.5 if bare else 0.9):
             parts.append(f"<h1>{title}</h1>")
         odd = self.junk if r.random() < 0.15 else (lambda t: t)
+        block = r.choice(["p", "div", "section"]) if r.random() < 0.3 else None  # all blocks alike
+        even = self.words(4, 90, mark) if r.random() < 0.3 else None
+        misled = r.random() < 0.08
         for _ in range(r.choice([1, 2, 3, 5, 8, 14])):
             text = odd(self.words(*r.choice([(1, 6), (5, 30), (30, 140), (30, 140)]), mark))
+            if even:
+                n = len(even.split())
+                text = self.words(n, n, mark)
             kind = r.random()
-            if kind < 0.72:
+            if block:
+                parts.append(f"<{block}{self.misled() if misled and r.random() < 0.5 else ''}>{text}</{block}>")
+            elif kind < 0.72:
                 parts.append(r.choice([f"<p>{text}</p>", f"<p>{text}</p>", f"<p>{text}</p>", f"<p>{text}", f"<p><b>{text}<br>", f"<p>{text} <a href=x>{self.words(1, 3, mark)}</a> {self.words(3, 12, mark)}</p>", f"<div>{text}</div>"]))
             elif kind < 0.8:
                 parts.append(f"<h2>{self.words(1, 8, mark)}</h2>")
@@ -90,22 +104,37 @@ class Maker:
                 parts.append(f"<blockquote><p>{text}</p></blockquote>")
             elif kind < 0.95:
                 parts.append("<table>" + "".join(f"<tr><td>{self.words(1, 6, mark)}</td><td>{self.words(1, 6, mark)}</td></tr>" for _ in range(3)) + "</table>")
-            else:
+            elif not bare:
                 parts.append(self.boilerplate(r.choice(["ad", "share", "side", "form", "notice", "nav", "comment"])))
+        if not parts:
+            parts.append(f"<p>{title}</p>")
         inner = "".join(parts)
-        shape = r.random()
+        shape = r.random() + (0.45 if bare else 0)
+        own = "content"
+        if misled:
+            return f"<{(name := r.choice('article article main section'.split()))}{self.misled()}>{inner}</{name}>"
         if shape < 0.5:
-            out = self.el("article", "content", inner, 0.3)
+            out = self.el("article", own, inner, 0.3)
         elif shape < 0.7:
-            out = f"<main>{self.el('article div section', 'content', inner, 0.6)}</main>"
+            out = f"<main>{self.el('article div section', own, inner, 0.6)}</main>"
         elif shape < 0.92:
-            out = self.el("div section td", "content", inner, 0.9)
+            out = self.el("div section td", own, inner, 0.9)
         else:
             out = inner
         return out
 
+    def bare(self) -> str:
+        """A page that is all article, with or without markup."""
+        r = self.r
+        if r.random() < 0.25:
+            return "\n".join(self.words(1, 120, _MARK) for _ in range(r.randint(1, 4)))
+        body = self.article(bare=True)
+        return r.choice([body, f"<body>{body}</body>", f"<html><head><title>{self.words(2, 9)}</title></head><body>{body}</body></html>"])
+
     def page(self) -> str:
         r = self.r
+        if r.random() < 0.25:
+            return self.bare()
         top = [self.boilerplate(k) for k in ("notice", "head", "nav", "ad", "form", "side") if r.random() < 0.5]
         end = [self.boilerplate(k) for k in ("share", "comment", "side", "ad", "form", "nav", "notice") if r.random() < 0.35]
         if r.random() < 0.85:
