@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from quernstone.llm import neardup
 
@@ -69,14 +70,46 @@ def test_edits_copies_and_odd_rows(spark):
     assert sorted(str(r.doc_id) for r in neardup.keep_first(df).collect()) == sorted(str(r[0]) for r in first)
 
 
-def test_regions_and_blocks(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "REGION", 6)
-    rng = random.Random(9)
-    base = [f"w{i}" for i in range(80)]
-    rows = [(i, " ".join(w if rng.random() > 0.02 else f"y{rng.randrange(50)}" for w in base)) for i in range(300)]
+def variants(n, seed, rate=0.02, words=80):
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(words)]
+    return [(i, " ".join(w if rng.random() > rate else f"y{rng.randrange(50)}" for w in base)) for i in range(n)]
+
+
+@pytest.mark.parametrize("limits", [{}, {"MOST_BLOCKED": 40}, {"MOST_BLOCKED": 40, "LARGEST_BLOCK": 1, "WINDOW": 32}, {"LARGEST_BLOCK": 1, "WINDOW": 64, "PIECE": 128}])
+def test_crowded_regions_every_way(spark, monkeypatch, limits):
+    """One group of different near copies, most pairs of it near the threshold, through blocks, pairs and windows."""
+    for name, value in limits.items():
+        monkeypatch.setattr(neardup, name, value)
+    rows = variants(500, 9) + [(1000 + i, t) for i, t in variants(40, 3, 0.05)]
     assert got(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
 
 
+def test_large_group_of_different_near_copies(spark):
+    rows = variants(2600, 1, 0.03, 60) + [(9000 + i, f"clean document number {i} of its own with words {i * 7} {i * 11} and {i * 13}") for i in range(300)]
+    assert got(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+
+
+def test_every_value_begins_one_tree_in_eight_turns():
+    first = {neardup.LEVELS * (t % neardup.TREES) + turn % neardup.LEVELS for turn in range(neardup.LEVELS) for t in range(neardup.TREES)}
+    assert len(first) == neardup.TREES * neardup.LEVELS
+    for turn in range(neardup.LEVELS):
+        for t in range(neardup.TREES):
+            own = [neardup.LEVELS * ((t + k * turn) % neardup.TREES) + (turn + k) % neardup.LEVELS for k in range(neardup.LEVELS)]
+            assert len(set(own)) == neardup.LEVELS
+
+
+def test_ways_to_confirm_agree(spark):
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 40, 60)
+    sets = [np.unique(np.where(rng.random(60) < 0.06, rng.integers(0, 1 << 40, 60), base)) for _ in range(30)]
+    rows = [(i, len(s), s.tolist()) for i, s in enumerate(sets)]
+    pairs = [(i, j) for i in range(30) for j in range(i + 1, 30)]
+    out = neardup.by_pair(spark.createDataFrame(pairs, "a long, b long"), spark.createDataFrame(rows, "node long, n long, shingles array<long>"), 85)
+    want = {(i, j) for i, j in pairs if 100 * len(np.intersect1d(sets[i], sets[j])) >= 85 * len(np.union1d(sets[i], sets[j]))}
+    assert {(r.a, r.b) for r in out.collect()} == want and 0 < len(want) < len(pairs)
+
+
 def test_confirmed_ways_agree():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 60, 50).astype(np.uint64)) for _ in range(4)] * 3
