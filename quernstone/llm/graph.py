@@ -3,17 +3,37 @@
 Every round joins each node to its least neighbour (by id, then by a round's
 hash, so that no ordering of ids makes long chains) and keeps only edges between
 different groups. No neighbour list is ever collected: hubs are pre-aggregated,
-and joins are plain equi-joins that adaptive execution can split.
+and joins are plain equi-joins that adaptive execution can split. Once at most
+:data:`FEW_EDGES` edges are left, one task unites what they join.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernstone.llm.shared import Work, salt_count
 
 
+#: A bound for one task: so many edges are 4 MB of ids.
+FEW_EDGES = 1 << 18
+
+
+def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The least node that each node of a small edge table is joined to."""
+    held = [np.stack([b.column(c).to_numpy() for c in ("a", "b")]) for b in batches]
+    nodes, pairs = np.unique(np.concatenate([np.empty((2, 0), np.int64), *held], 1), return_inverse=True)
+    forest = Forest(len(nodes))
+    for i, j in pairs.reshape(2, -1).T.tolist():
+        forest.join(i, j)
+    up = np.array([forest.find(i) for i in range(len(nodes))], np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[up])], names=["node", "parent"])
+
+
 def components(edges: DataFrame, work: Work) -> DataFrame:
     """``id, component`` (the least id of its component) of every node of ``edges(a, b)``.
 
@@ -24,7 +44,7 @@ def components(edges: DataFrame, work: Work) -> DataFrame:
     label = work.save(e.select(F.col("a").alias("id")).union(e.select("b")).distinct().select("id", F.col("id").alias("label")), "labels0")
     e = e.filter("a <> b")
     k = 0
-    while not e.isEmpty():
+    while (n := e.count()) > FEW_EDGES:
         both = e.union(e.select("b", "a"))
         if k % 2 == 0:
             parent = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("other")).select("node", F.least("node", "other").alias("parent"))
@@ -39,6 +59,11 @@ def components(edges: DataFrame, work: Work) -> DataFrame:
         label = work.save(moved, f"labels{k + 1}")
         work.drop(f"edges{k}", f"labels{k}", f"parents{k}")
         e, k = e2, k + 1
+    if n:
+        parent = work.save(e.repartition(1).mapInArrow(_unite, "node long, parent long"), f"parents{k}")
+        label = label.join(parent.withColumnRenamed("node", "label"), "label", "left").select("id", F.coalesce("parent", "label").alias("label"))
+    if k == 0:  # no round has run, so each label is the least id of its component
+        return work.save(label.select("id", F.col("label").alias("component")), "components")
     least = label.groupBy("label").agg(F.min("id").alias("component"))
     return work.save(label.join(least, "label").select("id", "component"), "components")
 

@@ -81,12 +81,12 @@ def test_crowded_regions_every_way(spark, monkeypatch, limits):
     """One group of different near copies, most pairs of it near the threshold, through blocks, pairs and windows."""
     for name, value in limits.items():
         monkeypatch.setattr(neardup, name, value)
-    rows = variants(500, 9) + [(1000 + i, t) for i, t in variants(40, 3, 0.05)]
+    rows = variants(260, 9) + [(1000 + i, t) for i, t in variants(40, 3, 0.05)]
     assert got(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
 
 
 def test_large_group_of_different_near_copies(spark):
-    rows = variants(2600, 1, 0.03, 60) + [(9000 + i, f"clean document number {i} of its own with words {i * 7} {i * 11} and {i * 13}") for i in range(300)]
+    rows = variants(2200, 1, 0.03, 40) + [(9000 + i, f"clean document number {i} of its own with words {i * 7} {i * 11} and {i * 13}") for i in range(100)]
     assert got(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
 
 
