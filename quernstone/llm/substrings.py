@@ -1,17 +1,24 @@
 """Repeated passages by relative Lempel-Ziv parsing against an index of all documents.
 
-The reference collection is the corpus itself, cut at content-defined places: in
-every window of :data:`WINDOW` words the :data:`GRAM`-word sequence of least
-hash is the anchor, and the words of all neighbouring windows with one anchor
-are a reference block. Equal windows have equal anchors wherever they stand, so
-an index of blocks by (anchor, content) finds every repeat with one index row
-for about seven words. A document is parsed from left to right: while its next
-block is in the index at an earlier place, the factor goes on. Where blocks
-share an anchor but not their whole content a factor begins or ends; only there
-single windows are compared, which makes the factor boundaries exact.
+The reference is the corpus itself, cut at content-defined places: in every
+window of :data:`WINDOW` words the :data:`GRAM`-word sequence of least hash is
+the anchor, and the words of all neighbouring windows with one anchor are a
+reference block. Equal windows have equal anchors wherever they stand, so an
+index of blocks by (anchor, content) finds every repeat with one index row for
+about seven words. Each content has one place in the reference, an earlier one
+than that of the block looked up (the earliest, or the earliest of its task).
+
+A document is parsed from left to right and greedily: a factor ``(start, length,
+source document, source start)`` takes one window after the other as long as the
+reference holds them one after the other too; where it does not, the factor ends
+and the next begins at the next window that the reference holds. Factors are at
+least a window long. Where blocks share an anchor but not their whole content a
+factor begins or ends; only there single windows are looked up, by two hashes,
+which makes the factor boundaries exact. The words of factors are the repeated ones.
 
 ``doc_id`` null counts as the least id. Rows of equal id and text are the same
-place, so neither is a repeat of the other.
+place, so neither is a repeat of the other. Null, empty and blank texts and those
+below a window have no factors; no column but ``doc_id`` and ``text`` is read.
 """
 
 from __future__ import annotations
@@ -33,7 +40,7 @@ GRAM = 8
 LOCAL_BLOCKS = 1 << 18
 _NULL_ID = -(1 << 63)
 _BLOCK, _MULTI, _COPY, _EXPAND, _DOC = range(5)
-_SCHEMA = "kind int, ah long, eh long, doc long, th int, lo int, cnt int, n_words long, sha string"
+_SCHEMA = "kind int, ah long, eh long, doc long, th int, lo int, cnt int, sdoc long, slo int, n_words long, sha string"
 
 
 def _argmin(values: np.ndarray, width: int) -> np.ndarray:
@@ -85,13 +92,13 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def _batch(kind: int | np.ndarray, n: int, **cols) -> pa.RecordBatch:
-    kinds = {"kind": pa.int32(), "ah": pa.int64(), "eh": pa.int64(), "doc": pa.int64(), "th": pa.int32(), "lo": pa.int32(), "cnt": pa.int32(), "n_words": pa.int64(), "sha": pa.string()}
+    kinds = {"kind": pa.int32(), "ah": pa.int64(), "eh": pa.int64(), "doc": pa.int64(), "th": pa.int32(), "lo": pa.int32(), "cnt": pa.int32(), "sdoc": pa.int64(), "slo": pa.int32(), "n_words": pa.int64(), "sha": pa.string()}
     cols["kind"] = np.full(n, kind, np.int32) if isinstance(kind, int) else kind
     return pa.RecordBatch.from_arrays([pa.array(cols[k], t) if k in cols else pa.nulls(n, t) for k, t in kinds.items()], names=list(kinds))
 
 
-def _resolve(ah: np.ndarray, eh: np.ndarray, doc: np.ndarray, lo: np.ndarray, multi: np.ndarray) -> np.ndarray:
-    """What each block is among these, sorted by anchor, content and place.
+def _resolve(ah: np.ndarray, eh: np.ndarray, doc: np.ndarray, lo: np.ndarray, multi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What each block is among these, sorted by anchor, content and place; and which is the first of its content.
 
     A later block of equal content is a copy; a first one is expanded if its
     anchor has several contents (or is marked so) and stays a block otherwise.
@@ -106,7 +113,7 @@ def _resolve(ah: np.ndarray, eh: np.ndarray, doc: np.ndarray, lo: np.ndarray, mu
     same_place = (doc == doc[first]) & (lo == lo[first])
     out = np.where(new_e | same_place, np.where(expand[group], _EXPAND, _BLOCK), _COPY)
     out[np.arange(n)[multi]] = _MULTI
-    return out
+    return out, first
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,7 +125,8 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held.clear()
         order = np.lexsort((lo, doc, eh, ah))
         ah, eh, doc, th, lo, cnt = (x[order] for x in (ah, eh, doc, th, lo, cnt))
-        kind = _resolve(ah, eh, doc, lo, np.zeros(len(ah), bool)).astype(np.int32)
+        kind, first = _resolve(ah, eh, doc, lo, np.zeros(len(ah), bool))
+        kind = kind.astype(np.int32)
         # One row tells the index of an anchor with several contents here.
         a = np.flatnonzero(kind == _EXPAND)
         a = a[np.concatenate([[True], ah[a][1:] != ah[a][:-1]])] if len(a) else a
@@ -129,7 +137,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         back = np.empty(len(order), np.int64)
         back[order] = np.arange(len(order))
         k = back[keep]  # in reading order, which packs ids well
-        own = _batch(kind[k], len(k), ah=_signed(ah[k]), eh=_signed(eh[k]), doc=doc[k], th=th[k], lo=lo[k].astype(np.int32), cnt=cnt[k].astype(np.int32))
+        own = _batch(kind[k], len(k), ah=_signed(ah[k]), eh=_signed(eh[k]), doc=doc[k], th=th[k], lo=lo[k].astype(np.int32), cnt=cnt[k].astype(np.int32), sdoc=doc[first[k]], slo=lo[first[k]].astype(np.int32))
         return pa.Table.from_batches([own, extra]).combine_chunks().to_batches()[0]
 
     size = 0
@@ -155,9 +163,11 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names, held = ("ah", "eh", "doc", "lo", "multi", "th", "cnt"), None
 
     def settle(c: dict[str, np.ndarray]) -> pa.RecordBatch:
-        kind = _resolve(c["ah"], c["eh"], c["doc"], c["lo"], c["multi"])
+        kind, first = _resolve(c["ah"], c["eh"], c["doc"], c["lo"], c["multi"])
         k = np.flatnonzero((kind == _COPY) | (kind == _EXPAND))
-        return pa.RecordBatch.from_arrays([pa.array(c[n][k], t) for n, t in (("doc", pa.int64()), ("th", pa.int32()), ("lo", pa.int32()), ("cnt", pa.int32()))] + [pa.array(kind[k] == _EXPAND)], names=["doc", "th", "lo", "cnt", "expand"])
+        cols = [pa.array(c[n][k], t) for n, t in (("doc", pa.int64()), ("th", pa.int32()), ("lo", pa.int32()), ("cnt", pa.int32()))]
+        cols += [pa.array(kind[k] == _EXPAND), pa.array(c["doc"][first[k]]), pa.array(c["lo"][first[k]], pa.int32())]
+        return pa.RecordBatch.from_arrays(cols, names=["doc", "th", "lo", "cnt", "expand", "sdoc", "slo"])
 
     for b in batches:
         if not len(b):
@@ -192,17 +202,31 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield pa.RecordBatch.from_pydict({"w1": _signed(one.hash(s, s + WINDOW)), "w2": _signed(two.hash(s, s + WINDOW)), "doc": pa.array(np.full(n, b.column("doc")[k].as_py())), "th": pa.array(np.full(n, b.column("th")[k].as_py(), np.int32)), "at": pa.array(at.astype(np.int32))})
 
 
-def _mask(n: int, marks: list[dict] | None, again: list[int] | None) -> np.ndarray:
-    """Words covered by repeated windows, from whole blocks and single windows."""
+def parse(marks: list[dict] | None, again: list[dict] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The factors of a document: first word, words, source document and first word there, from left to right.
+
+    ``marks`` are blocks and ``again`` single windows with their places in the
+    reference. A factor goes on while its next window is next in the reference too.
+    """
+    blocks = [m for m in marks or () if not m["expand"]]
+    lo, cnt, sdoc, slo = (np.array([m[c] for m in blocks], np.int64) for c in ("lo", "cnt", "sdoc", "slo"))
+    step = np.arange(cnt.sum()) - np.repeat(np.cumsum(cnt) - cnt, cnt)
+    one = (np.array([m[c] for m in again or ()], np.int64) for c in ("at", "sdoc", "sat"))
+    at, doc, place = (np.concatenate(x) for x in zip((np.repeat(lo, cnt) + step, np.repeat(sdoc, cnt), np.repeat(slo, cnt) + step), one, strict=True))
+    order = np.argsort(at, kind="stable")
+    at, doc, place = at[order], doc[order], place[order]
+    new = np.ones(len(at), bool)
+    new[1:] = (np.diff(at) != 1) | (np.diff(place) != 1) | (doc[1:] != doc[:-1])
+    first = np.flatnonzero(new)
+    windows = np.diff(np.append(first, len(at)))
+    return at[first], windows + WINDOW - 1, doc[first], place[first]
+
+
+def _mask(n: int, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Which of ``n`` words a factor covers."""
     edge = np.zeros(n + 1, np.int64)
-    if marks:
-        lo = np.array([m["lo"] for m in marks if not m["expand"]], np.int64)
-        np.add.at(edge, lo, 1)
-        np.add.at(edge, lo + np.array([m["cnt"] for m in marks if not m["expand"]], np.int64) + WINDOW - 1, -1)
-    if again:
-        at = np.array(again, np.int64)
-        np.add.at(edge, at, 1)
-        np.add.at(edge, at + WINDOW, -1)
+    np.add.at(edge, start, 1)
+    np.add.at(edge, start + length, -1)
     return np.cumsum(edge[:-1]) > 0
 
 
@@ -214,7 +238,7 @@ def repeated(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Documents without a factor (``doc, th, n_words, sha``), and the others with text and factors.
 
     The second table has ``doc, th, text, marks`` (blocks) and ``again`` (single
-    repeated windows at factor boundaries).
+    repeated windows at factor boundaries), both with places in the reference.
     """
     spark, work = df.sparkSession, Work(df.sparkSession, "substrings")
     parts = salt_count(spark)
@@ -225,22 +249,24 @@ def repeated(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     parsed = spark.read.schema(_SCHEMA).parquet(path)
     index = parsed.filter(F.col("kind").isin(_BLOCK, _MULTI)).select("ah", "eh", "doc", "lo", (F.col("kind") == _MULTI).alias("multi"), "th", "cnt")
     index = index.repartition(parts, "ah").sortWithinPartitions("ah", "eh", "doc", "lo")
-    marks = work.save(index.mapInArrow(_index, "doc long, th int, lo int, cnt int, expand boolean"), "marks")
+    marks = work.save(index.mapInArrow(_index, "doc long, th int, lo int, cnt int, expand boolean, sdoc long, slo int"), "marks")
     work.drop(f"parsed/kind={_BLOCK}", f"parsed/kind={_MULTI}")
-    local = parsed.filter(F.col("kind").isin(_COPY, _EXPAND)).select("doc", "th", "lo", "cnt", (F.col("kind") == _EXPAND).alias("expand"))
-    by_doc = marks.union(local).groupBy("doc", "th").agg(F.collect_list(F.struct("lo", "cnt", "expand")).alias("marks"))
+    local = parsed.filter(F.col("kind").isin(_COPY, _EXPAND)).select("doc", "th", "lo", "cnt", (F.col("kind") == _EXPAND).alias("expand"), "sdoc", "slo")
+    # Sets, as rows of one id and text in several tasks have the same marks.
+    by_doc = marks.union(local).groupBy("doc", "th").agg(F.collect_set(F.struct("lo", "cnt", "expand", "sdoc", "slo")).alias("marks"))
     marked = work.save(keyed.join(by_doc, ["doc", "th"]), "marked")
     windows = marked.filter(F.exists("marks", lambda m: m["expand"])).mapInArrow(_windows, "w1 long, w2 long, doc long, th int, at int")
     windows = work.save(windows.distinct(), "windows")
     place = F.struct("doc", "at")
     earliest = windows.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    again = windows.join(earliest, ["w1", "w2"]).filter(place > F.col("first")).groupBy("doc", "th").agg(F.collect_set("at").alias("again"))
+    again = windows.join(earliest, ["w1", "w2"]).filter(place > F.col("first"))
+    again = again.groupBy("doc", "th").agg(F.collect_set(F.struct("at", F.col("first.doc").alias("sdoc"), F.col("first.at").alias("sat"))).alias("again"))
     plain = parsed.filter(F.col("kind") == _DOC).select("doc", "th", "n_words", "sha").join(marked.select("doc", "th"), ["doc", "th"], "left_anti")
     return plain, marked.join(again, ["doc", "th"], "left")
 
 
 def digest_rows(df: DataFrame) -> DataFrame:
-    """``doc_id, n_words, n_removed, kept_sha256`` of every row of ``df(doc_id, text)``."""
+    """``doc_id, n_words, n_removed, kept_sha256`` of every row of ``df(doc_id, text)``; a null text counts as empty."""
     plain, factored = repeated(df)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,7 +274,7 @@ def digest_rows(df: DataFrame) -> DataFrame:
             rows = []
             for text, marks, again in zip(*(b.column(c).to_pylist() for c in ("text", "marks", "again")), strict=True):
                 n = len(text.encode("utf-8", "surrogatepass").split())
-                rows.append(kept_digest(text, _mask(n, marks, again)))
+                rows.append(kept_digest(text, _mask(n, *parse(marks, again)[:2])))
             yield pa.RecordBatch.from_pydict({"doc": b.column("doc"), "n_words": pa.array([r[0] for r in rows], pa.int64()), "n_removed": pa.array([r[1] for r in rows], pa.int64()), "kept_sha256": pa.array([r[2] for r in rows], pa.string())})
 
     some = factored.select("doc", "text", "marks", "again").mapInArrow(run, "doc long, n_words long, n_removed long, kept_sha256 string")
@@ -257,16 +283,19 @@ def digest_rows(df: DataFrame) -> DataFrame:
 
 
 def factors(df: DataFrame) -> DataFrame:
-    """Maximal duplicate spans ``doc_id, start, length`` in words of every document."""
+    """The factors ``doc_id, start, length, source_id, source_start`` (in words) of every document.
+
+    A factor equals the words at its source, which starts earlier; neighbouring
+    factors of different sources may overlap.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in textvec.slices(batches):
-            out: list[tuple[int, int, int]] = []
-            for doc, text, marks, again in zip(*(b.column(c).to_pylist() for c in ("doc", "text", "marks", "again")), strict=True):
-                mask = _mask(len(text.encode("utf-8", "surrogatepass").split()), marks, again).astype(np.int8)
-                edge = np.diff(np.concatenate([[0], mask, [0]]))
-                out += [(doc, int(a), int(z - a)) for a, z in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(3)], names=["doc", "start", "length"])
-
-    spans = repeated(df)[1].select("doc", "text", "marks", "again").mapInArrow(run, "doc long, start long, length long")
-    return spans.select(_original(), "start", "length")
+        for b in batches:
+            out = [np.empty((5, 0), np.int64)]
+            for doc, marks, again in zip(*(b.column(c).to_pylist() for c in ("doc", "marks", "again")), strict=True):
+                f = parse(marks, again)
+                out.append(np.stack([np.full(len(f[0]), doc), *f]))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(out, 1)], names=["doc", "start", "length", "source", "source_start"])
+
+    found = repeated(df)[1].select("doc", "marks", "again").mapInArrow(run, "doc long, start long, length long, source long, source_start long")
+    return found.select(_original(), "start", "length", _original("source").alias("source_id"), "source_start")
