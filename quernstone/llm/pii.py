@@ -3,7 +3,7 @@
 Kinds, in the order used for ties: ``email ip card phone`` (the base kinds),
 then ``iban ssn secret``. A base span stands as soon as its validator accepts
 it; words near it only move its score. An ``iban`` must pass mod-97. An ``ssn``
-or ``secret`` has no checksum, so it needs a context word beside it.
+or ``secret`` has no checksum, so it needs a context word on either side of it.
 """
 
 from __future__ import annotations
@@ -36,17 +36,18 @@ _SECRET = re.compile(r"(?<![A-Za-z0-9])[A-Fa-f0-9]{32,128}(?![A-Za-z0-9])")
 _KEY_ID = re.compile(r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])")
 _DIGIT = re.compile(r"[0-9]")
 
-#: Words that make a span of a kind likelier, sought among the 32 characters before it.
+#: Whole words that make a span of a kind likelier, sought among the 32 characters before and after it.
 CONTEXT = {
-    "email": ("mail", "contact", "write", "address"),
+    "email": ("mail", "email", "contact", "write", "address"),
     "ip": ("ip", "host", "server", "address"),
     "card": ("card", "visa", "credit", "payment"),
-    "phone": ("phone", "tel", "call", "mobile", "fax"),
+    "phone": ("phone", "telephone", "tel", "call", "mobile", "fax"),
     "iban": ("iban", "account", "bank"),
     "ssn": ("ssn", "social", "security"),
-    "secret": ("token", "key", "secret", "password"),
+    "secret": ("token", "key", "apikey", "secret", "password"),
 }
 _NEAR = 32
+_NEAR_WORDS = {kind: re.compile(rf"(?<![A-Za-z])(?:{'|'.join(words)})(?![A-Za-z])", re.I | re.A) for kind, words in CONTEXT.items()}
 #: Score of a validated span without context, and what a context word adds.
 PRIOR = {"email": 0.9, "ip": 0.7, "card": 0.8, "phone": 0.7, "iban": 0.9, "ssn": 0.4, "secret": 0.4}
 CONTEXT_GAIN = 0.3
@@ -115,16 +116,19 @@ def propose(text: str) -> Iterator[tuple[str, int, int]]:
             yield kind, m.start(), m.end()
 
 
-def _context(kind: str, text: str, start: int) -> bool:
-    near = text[max(0, start - _NEAR) : start].lower()
-    return any(w in near for w in CONTEXT[kind]) or kind == "secret" and text.startswith("AKIA", start)
+def _context(kind: str, text: str, start: int, end: int) -> bool:
+    # One more character on each side shows whether a word goes on there.
+    before, after = text[max(0, start - _NEAR - 1) : start], text[end : end + _NEAR + 1]
+    words = _NEAR_WORDS[kind]
+    near = any(m.start() > 0 or start <= _NEAR for m in words.finditer(before)) or any(m.end() <= _NEAR for m in words.finditer(after))
+    return near or kind == "secret" and text.startswith("AKIA", start)
 
 
 def find(text: str | None) -> list[Span]:
     """All spans of a text (null: none), by start, then kind."""
     found = []
     for kind, a, b in propose(text or ""):
-        score = min(1.0, PRIOR[kind] + CONTEXT_GAIN * _context(kind, text, a))
+        score = min(1.0, PRIOR[kind] + CONTEXT_GAIN * _context(kind, text, a, b))
         if kind in BASE or score >= THRESHOLD:
             found.append(Span(kind, a, b, score))
     return sorted(found, key=lambda s: (s.start, KINDS.index(s.kind)))
@@ -180,7 +184,11 @@ def with_spans(df: DataFrame, text: str = "text", spans: str = "pii_spans", reda
 
 
 def digest_rows(df: DataFrame) -> DataFrame:
-    """Counts, digest and joined spans of every row of ``df(doc_id, text)``."""
+    """Counts, digest and joined spans of every row of ``df(doc_id, text)``.
+
+    Null text counts as empty: no spans, the digest of nothing, a null ``max_score``.
+    Repeated rows are described one by one; other columns are left out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):

@@ -40,6 +40,18 @@ def test_kinds_validators_and_context():
     assert [s.kind for s in pii.find("ssn 123-45-6789, part 123-45-6789" + " " * 40 + "123-45-6789")] == ["ssn", "ssn"]
 
 
+def test_context_is_whole_words_on_both_sides():
+    score = lambda t: [(s.kind, round(s.score, 3)) for s in pii.find(t)]
+    assert score("123-45-6789 is my social security number") == [("ssn", 0.7)]
+    assert score("123-45-6789 is mine") == [] and score("antisocial 123-45-6789 socialite") == []
+    assert score("secretary " + "ab12" * 8) == [] and score("secret " + "ab12" * 8) == [("secret", 0.7)]
+    assert score("+1 415 555 2671 is my phone") == [("phone", 1.0)] and score("+1 415 555 2671 it is") == [("phone", 0.7)]
+    # A word counts if all of it is within 32 characters.
+    assert score("ssn" + " " * 29 + "123-45-6789") == [("ssn", 0.7)] and score("ssn" + " " * 30 + "123-45-6789") == []
+    assert score("123-45-6789" + " " * 29 + "ssn") == [("ssn", 0.7)] and score("123-45-6789" + " " * 30 + "ssn") == []
+    assert score("123-45-6789" + " " * 29 + "ssnx") == [] and score("xssn" + " " * 29 + "123-45-6789") == []
+
+
 def test_redaction_merges_overlaps():
     t = "x +4111111111111111 y"
     assert pii.redact(t, pii.find(t)) in {"x [CARD] y", "x +[CARD] y", "x [PHONE] y"}

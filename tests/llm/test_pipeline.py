@@ -92,3 +92,20 @@ def test_sequences_can_be_rebuilt(stages):
     whole = {r.sequence_id: r.ids for r in packing.assemble(after).collect()}
     got = Counter(tuple(whole[r.sequence_id][r.offset : r.offset + r.length]) for r in after.select("sequence_id", "offset", "length").collect())
     assert got == want and sum(map(len, whole.values())) == sum(len(k) * n for k, n in want.items())
+
+
+def test_odd_rows_and_clashing_columns(spark):
+    long = "A sentence of some words stands here, as in any text, and it goes on for a while. " * 3
+    rows = [(1, long + "mail a@b.org", "s"), (1, long + "mail a@b.org", "s"), (2, long + "mail a@b.org", "s"), (3, None, None), (4, "", "t"), (4, " \n", "t"), (None, long + "of nobody", None), (5, "word " * 30_000, "t")]
+    clash = "pii_spans string, _doc int, _th int, size int, whole int, ranges int, score int, comp int, cluster int"
+    df = spark.createDataFrame([(*r, "p", 1, 2, 3, 4, 5, 6, 7, 8) for r in rows], f"doc_id long, text string, source string, {clash}")
+    for docs in (df, df.limit(0)):
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            out = Work(spark, "t").save(stage(spark, docs, SF), f"odd{k}")
+            if k < 4:
+                assert out.columns == df.columns, name
+            if k == 1:
+                # The second document is a copy of the first, both rows of which stay.
+                assert [r.doc_id for r in out.collect() if r.text and "a@b.org" in r.text] in ([1, 1], [])
+            docs = out
+        assert {"doc_id", "piece", "start", "length", "sequence_id", "offset"} <= set(docs.columns)

@@ -53,3 +53,22 @@ def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
     plan = rules.apply_rules(df)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_clashing_columns_and_no_rows(spark):
+    rows = [(i, t, "a", "b", "c", 1) for i, t in enumerate(TEXTS * 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kept string, base_failed string, rejected_by string, _words int")
+    out = rules.apply_rules(df)
+    got = out.collect()
+    assert len(got) == len(rows) and out.columns.count("kept") == 1
+    assert all(r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words) and isinstance(r.kept, bool) for r in got)
+    assert rules.apply_rules(df.limit(0)).count() == 0
+
+
+def test_costs_leave_out_the_start_of_a_job(spark):
+    df = rules.with_metrics(spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string"))
+    slow = F.col("doc_id") >= 0
+    for k in range(300):
+        slow = slow & (F.length(F.sha2(F.concat(F.col("text"), F.lit(str(k))), 512)) >= 0)
+    costs = rules.measure(df.cache(), [rules.Rule("cheap", F.col("n_words") < 0), rules.Rule("dear", slow)])
+    assert costs["cheap"][1] == 0 and costs["dear"][0] > costs["cheap"][0]
