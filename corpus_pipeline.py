@@ -2,6 +2,14 @@
 
 Every stage takes ``(spark, docs, sf_dir)``, works on all that its predecessor
 kept and returns a DataFrame, which is written as Parquet and read again.
+
+Null, empty and blank texts have the score of no evidence, which the model sets;
+they are no copies and hold no personal data, and mixing takes words, so they
+give nothing there. Rows of one
+``doc_id`` stay separate documents throughout; equal ones are exact copies, of
+which each row of the first document stays. A null ``doc_id`` counts as the least,
+a null source as a source of its own. Further columns are carried along, whatever
+their names; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -9,9 +17,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quernstone.llm import mixing, neardup, packing, pii, quality
-from quernstone.llm.shared import Work, table
+from quernstone.llm.shared import Work, fresh, table
+
+
+def _counted(out: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs``, with ``n_chars`` (where there is such a column) as the text now has it."""
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.char_length("text").cast("long"))
+    return out.select(*[f"`{c}`" for c in docs.columns])
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,19 +41,14 @@ def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in the texts replaced by its kind; ``n_chars`` is counted anew."""
-    from pyspark.sql import functions as F
-
-    out = pii.with_spans(docs, redacted="text").drop("pii_spans")
-    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    """Personal data in the texts replaced by its kind; ``n_chars`` is counted anew, null texts stay null."""
+    out = pii.with_spans(docs, spans=fresh(docs.columns, "pii_spans")[0], redacted="text")
+    return _counted(out, docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The copies and parts of documents that bring every source to its target."""
-    from pyspark.sql import functions as F
-
-    out = mixing.mixed_documents(docs)
-    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    """The copies and parts of documents that bring every source to its target; texts without words give none."""
+    return _counted(mixing.mixed_documents(docs), docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
