@@ -509,7 +509,8 @@ def _sets(df: DataFrame, nodes: DataFrame, width: int, work: Work) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column("node").slice(i, j - i), b.column("n").slice(i, j - i), lists], names=["node", "n", "shingles"])
 
     # A row for each node, also where rows of one id and text are repeated; no shuffle besides the join's.
-    texts = _keyed(df).join(nodes, ["doc", "th"]).dropDuplicates(["doc", "th"]).select("node", "n", "text")
+    # The nodes grow with the input, so the join is the same at every size.
+    texts = _keyed(df).join(nodes.hint("merge"), ["doc", "th"]).dropDuplicates(["doc", "th"]).select("node", "n", "text")
     return work.save(texts.mapInArrow(full, "node long, n long, shingles array<long>"), "sets")
 
 
