@@ -21,9 +21,9 @@ _GEAR = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + _RNG.in
 _LEAP = _RNG.integers(0, 1 << 32, (5, 256), dtype=np.uint64).astype(np.uint32)
 #: An irreducible polynomial of degree 53 over GF(2), and the window of the rolling fingerprint.
 _POLYNOMIAL, _RABIN_WINDOW = 0x3DA3358B4DC173, 48
-_ULTRA_PATTERN = 0xAA
-_ULTRA_REPEATS = 64
-_SEQ_RUN = 5
+#: Fixed values of the published low-entropy chunker: the byte of its pattern, the masks before and after the wished size,
+#: and how many equal windows in a row end a chunk.
+_ULTRA_PATTERN, _ULTRA_STRICT, _ULTRA_LOOSE, _ULTRA_REPEATS = 0xAA, 0x2F, 0x2C, 64
 
 
 @dataclass(frozen=True)
@@ -45,6 +45,19 @@ class Sizes:
 DEFAULT = Sizes(8 << 10, 16 << 10, 64 << 10)
 
 
+@dataclass(frozen=True)
+class SeqConfig:
+    """How many steps in a row end a chunk, how many opposite steps lead to a skip, and its bytes."""
+
+    run: int = 5
+    trigger: int = 50
+    skip: int = 256
+
+    def __post_init__(self):
+        if min(self.run, self.trigger, self.skip) < 1:
+            raise InvalidInput("run, trigger and skip must be at least 1")
+
+
 def _gear(b: np.ndarray) -> np.ndarray:
     """The gear hash at every byte: it remembers 64 bytes, built by doubling."""
     h = _GEAR[b]
@@ -139,30 +152,54 @@ def _run_ends(hit: np.ndarray, length: int) -> np.ndarray:
 
 
 def ultra(b: np.ndarray, s: Sizes) -> list[int]:
-    """Hamming distance of eight bytes to a pattern; long repeats are cut at once."""
-    ones = np.bitwise_count(b ^ np.uint8(_ULTRA_PATTERN)).astype(np.int64)
-    sums = np.concatenate([[0], np.cumsum(ones)])
-    distance = sums[8:] - sums[:-8] if len(b) >= 8 else np.zeros(0, np.int64)
-    distance = np.concatenate([np.full(len(b) - len(distance), -1), distance])
-    # Distances are spread by a fixed scramble of the eight bytes' sum, so that the wished size can be met.
-    roll = _gear(b) >> np.uint64(40)
-    bits = max(0, s.avg.bit_length() - 4)
-    strict = (distance == 32) & ((roll & np.uint64((1 << bits) - 1)) == 0)
-    loose = (distance == 32) & ((roll & np.uint64((1 << max(0, bits - 3)) - 1)) == 0)
-    same = np.concatenate([np.zeros(min(8, len(b)), bool), b[8:] == b[:-8]]) if len(b) > 8 else np.zeros(len(b), bool)
-    repeats = _run_ends(same, 8 * _ULTRA_REPEATS)
-    return _choose(len(b), s, np.union1d(_ends(strict), repeats), np.union1d(_ends(loose), repeats))
-
-
-def super_(b: np.ndarray, s: Sizes) -> list[int]:
-    """Gear cuts with a record of what followed each cut's fingerprint; a guess must be a cut itself."""
+    """Hamming distance of the last eight bytes to a pattern, under a stricter mask before the wished size.
+
+    Windows of eight bytes follow each other from the least size on. A window that
+    repeats the one before is not searched, and many of them in a row end the chunk.
+    """
+    n = len(b)
+    ones = np.concatenate([[0], np.cumsum(np.bitwise_count(b ^ np.uint8(_ULTRA_PATTERN)), dtype=np.int64)])
+    distance = ones[8:] - ones[:-8]  # of the eight bytes before place 8, 9, ...
+    strict, loose = (np.flatnonzero((distance & mask) == 0) + 8 for mask in (_ULTRA_STRICT, _ULTRA_LOOSE))
+    differ = np.concatenate([[0], np.cumsum(b[8:] != b[:-8])]) if n > 8 else np.zeros(1, np.int64)
+    ends, at = [], 0
+    while at < n:
+        end, first = min(n, at + s.max), at + s.min + 8
+        at = end
+        if first < end:
+            starts = np.arange(first, end, 8)
+            full = starts + 8 <= n
+            again = full.copy()
+            again[full] = differ[starts[full]] == differ[starts[full] - 8]  # the window equals the one before
+            row = _run_ends(again, _ULTRA_REPEATS)
+            low = int(starts[row[0] - 1]) + 8 if len(row) else end
+            wished = max(first, end if end - first + s.min + 8 <= s.avg else first - s.min - 8 + s.avg)
+            for cuts, lo, hi in ((strict, first, min(low, wished, end)), (loose, wished, min(low, end))):
+                c = cuts[np.searchsorted(cuts, lo) : np.searchsorted(cuts, hi)]
+                c = c[~again[(c - first) // 8]]
+                if len(c):
+                    low = min(low, int(c[0]))
+                    break
+            at = min(low, end)
+        ends.append(at)
+    return ends
+
+
+def super_(b: np.ndarray, s: Sizes, state: dict | None = None, last: bool = True) -> list[int]:
+    """Gear cuts with a record of what followed each cut's fingerprint; a guess must be a cut itself.
+
+    ``state`` carries the record and the last fingerprint from one piece of a
+    payload to the next; of a piece that is not the last, only chunks are cut that
+    no further byte can change.
+    """
+    state = {} if state is None else state
     h = _gear(b)
     hit = (h & _low_bits(s.avg, -1)) == 0
     cuts = _ends(hit)
     strict = _ends((h & _low_bits(s.avg, 1)) == 0)
-    ends, at, record = [], 0, {}
-    while at < len(b):
-        key = int(h[at - 1]) if at else None
+    ends, at, record = [], 0, state.setdefault("record", {})
+    while at < len(b) and (last or at + s.max <= len(b)):
+        key = int(h[at - 1]) if at else state.get("key")
         guess = record.get(key)
         if guess and at + guess < len(b) and hit[at + guess - 1]:
             end = at + guess
@@ -172,16 +209,33 @@ def super_(b: np.ndarray, s: Sizes) -> list[int]:
             record[key] = end - at
         ends.append(end)
         at = end
+    if at:
+        state["key"] = int(h[at - 1])
     return ends
 
 
-def _seq(sign: int) -> Callable[[np.ndarray, Sizes], list[int]]:
-    def run(b: np.ndarray, s: Sizes) -> list[int]:
-        step = np.concatenate([[0], np.sign(np.diff(b.astype(np.int16)))]) == sign
-        cuts = _run_ends(step, min(_SEQ_RUN, max(2, s.avg.bit_length() // 3 + 1)))
-        return _choose(len(b), s, cuts, cuts)
-
-    run.__doc__ = "A cut after a run of bytes that all rise (or all fall)."
+def _seq(sign: int) -> Callable[..., list[int]]:
+    def run(b: np.ndarray, s: Sizes, config: SeqConfig = SeqConfig()) -> list[int]:
+        step = np.concatenate([[0], np.sign(np.diff(b.astype(np.int16)))]) * sign
+        steps = np.concatenate([[0], np.cumsum(step > 0)])
+        full = np.flatnonzero(steps[config.run :] - steps[: -config.run] == config.run) + config.run  # ends of full runs
+        against = np.flatnonzero(step < 0)
+        ends, at, n = [], 0, len(b)
+        while at < n:
+            end, p = min(n, at + s.max), at + s.min
+            at = end
+            while p < end:
+                i, j = np.searchsorted(full, p + config.run), np.searchsorted(against, p)
+                cut = int(full[i]) if i < len(full) else n
+                turn = int(against[j + config.trigger - 1]) if j + config.trigger <= len(against) else n
+                if cut <= turn:
+                    at = min(cut, end)
+                    break
+                p = turn + config.skip
+            ends.append(at)
+        return ends
+
+    run.__doc__ = """A cut after a run of bytes that all rise (or all fall); after many steps the other way some bytes are skipped."""
     return run
 
 
@@ -196,10 +250,51 @@ KERNELS: dict[str, Callable[[np.ndarray, Sizes], list[int]]] = {
 }
 
 
-def chunk(payload: bytes, kernel: str, sizes: Sizes) -> list[tuple[int, int]]:
+def ends_of(b: np.ndarray, kernel: str, sizes: Sizes, config: SeqConfig | None = None) -> list[int]:
+    return KERNELS[kernel](b, sizes) if config is None else KERNELS[kernel](b, sizes, config)
+
+
+def chunk(payload: bytes, kernel: str, sizes: Sizes, config: SeqConfig | None = None) -> list[tuple[int, int]]:
     """Offsets and lengths of the chunks of ``payload``, in order and without gaps."""
     b = np.frombuffer(payload, np.uint8)
     if not len(b):
         return []
-    ends = KERNELS[kernel](b, sizes)
+    ends = ends_of(b, kernel, sizes, config)
     return list(zip([0, *ends[:-1]], np.diff([0, *ends]).tolist(), strict=True))
+
+
+class Carry:
+    """Chunks of a payload that arrives in pieces; they equal those of the whole payload.
+
+    What no further byte can change is given out, the rest (less than the greatest
+    size) waits for the next piece. The least size must be :data:`MEMORY` or more,
+    so that no cut depends on bytes before its chunk (fixed sizes may be less).
+    """
+
+    def __init__(self, kernel: str, sizes: Sizes, config: SeqConfig | None = None):
+        if kernel != "fixed-size" and sizes.min < MEMORY:
+            raise InvalidInput(f"pieces need a least size of {MEMORY} bytes")
+        self.kernel, self.sizes, self.config = kernel, sizes, config
+        self.rest, self.state = b"", {}
+
+    def feed(self, piece: bytes, last: bool = False) -> list[bytes]:
+        data = self.rest + piece
+        b = np.frombuffer(data, np.uint8)
+        if not len(b):
+            return []
+        if self.kernel == "fixed-size":
+            ends = [*range(self.sizes.min, len(b) + 1, self.sizes.min)]
+            if last and (not ends or ends[-1] < len(b)):
+                ends.append(len(b))
+        elif self.kernel == "super":
+            ends = super_(b, self.sizes, self.state, last)
+        else:
+            ends = ends_of(b, self.kernel, self.sizes, self.config)
+            if not last:
+                ends = [e for a, e in zip([0, *ends[:-1]], ends, strict=True) if a + self.sizes.max <= len(b)]
+        self.rest = data[ends[-1] :] if ends else data
+        return [data[a:e] for a, e in zip([0, *ends], ends, strict=False)]
+
+
+#: The greatest number of bytes that a kernel remembers; chunks at least as long make it forget what came before them.
+MEMORY = 64

@@ -19,7 +19,7 @@ from quernstone.constants import KB
 from quernstone.errors import InvalidInput
 from quernstone.functions import kernels
 from quernstone.functions.hashing import hasher
-from quernstone.functions.kernels import Sizes
+from quernstone.functions.kernels import SeqConfig, Sizes
 
 _LABELS = {"fast": "FastCDC (2020)", "rabin": "RabinCDC", "leap": "LeapCDC", "ultra": "UltraCDC", "super": "SuperCDC", "seq": "SeqCDC", "seq-decreasing": "SeqCDC"}
 
@@ -30,6 +30,7 @@ class Chunker:
 
     kind: str
     sizes: Sizes
+    config: SeqConfig | None = None
 
     @property
     def label(self) -> str:
@@ -50,10 +51,13 @@ def fixed(size: int = 4 * KB) -> Chunker:
     return Chunker("fixed-size", Sizes(size, size, size))
 
 
-def cdc(kind: str, sizes: Sizes = kernels.DEFAULT) -> Chunker:
+def cdc(kind: str, sizes: Sizes = kernels.DEFAULT, config: SeqConfig | None = None) -> Chunker:
+    """A content-defined chunker; ``config`` is for the ``seq`` kinds only."""
     if kind not in kernels.KERNELS:
         raise InvalidInput(f"unknown chunker {kind!r}; known: fixed-size, {', '.join(sorted(kernels.KERNELS))}")
-    return Chunker(kind, sizes)
+    if config is not None and not kind.startswith("seq"):
+        raise InvalidInput(f"{kind} takes no configuration")
+    return Chunker(kind, sizes, config)
 
 
 def register(name: str, cuts: Callable, label: str | None = None) -> None:
@@ -80,7 +84,7 @@ def _with_cuts(files: DataFrame, chunker: Chunker) -> DataFrame:
         size = chunker.sizes.min
         starts = F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1, F.lit(size).cast("long"))).otherwise(F.array().cast("array<long>"))
         return files.withColumn("_cuts", F.transform(starts, lambda o: F.struct(o.alias("offset"), F.least(F.lit(size).cast("long"), n - o).alias("len"))))
-    names, kind, sizes = files.columns, chunker.kind, chunker.sizes
+    names, kind, sizes, config = files.columns, chunker.kind, chunker.sizes, chunker.config
     # A registered kernel is not known to the workers by name.
     own = kernels.KERNELS[kind]
 
@@ -88,7 +92,7 @@ def _with_cuts(files: DataFrame, chunker: Chunker) -> DataFrame:
         kernels.KERNELS.setdefault(kind, own)
         cut = pa.struct([("offset", pa.int64()), ("len", pa.int64())])
         for b in batches:
-            rows = [[{"offset": o, "len": n} for o, n in kernels.chunk(x or b"", kind, sizes)] for x in b.column(names.index("bytes")).to_pylist()]
+            rows = [[{"offset": o, "len": n} for o, n in kernels.chunk(x or b"", kind, sizes, config)] for x in b.column(names.index("bytes")).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rows, pa.list_(cut))], names=[*names, "_cuts"])
 
     from pyspark.sql import types as T
@@ -114,6 +118,47 @@ def chunk(files: DataFrame, chunker: Chunker, hash_name: str | None = "sha256",
     return cut.select(*out)
 
 
+def chunk_pieces(pieces: DataFrame, chunker: Chunker, hash_name: str | None = "sha256") -> DataFrame:
+    """Spans ``file_name, idx, offset, len, data`` (and ``hash``) of files that are given in pieces.
+
+    ``pieces(file_name, piece, offset, bytes)``: consecutive pieces of each file, numbered
+    from 0; no file need fit into a row. The cuts equal those of the whole file. A
+    file is read by one task, in order; that holds a piece and less than the
+    greatest chunk at a time. Null pieces count as empty, empty files have no spans.
+    """
+    kind, sizes, config = chunker.kind, chunker.sizes, chunker.config
+    kernels.Carry(kind, sizes, config)  # refuses sizes that pieces cannot have
+    own = kernels.KERNELS.get(kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if own:
+            kernels.KERNELS.setdefault(kind, own)
+        name, carry, idx, offset = None, None, 0, 0
+
+        def spans(found: list[bytes]) -> pa.RecordBatch:
+            nonlocal idx, offset
+            size = [len(x) for x in found]
+            starts = [offset + sum(size[:k]) for k in range(len(size))]
+            out = pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array(range(idx, idx + len(found)), pa.int64()), pa.array(starts, pa.int64()), pa.array(size, pa.int64()), pa.array(found, pa.binary())], names=["file_name", "idx", "offset", "len", "data"])
+            idx, offset = idx + len(found), offset + sum(size)
+            return out
+
+        for b in batches:
+            for k in range(len(b)):  # one piece at a time
+                file = b.column("file_name")[k].as_py()
+                if carry is None or file != name:
+                    if carry is not None:
+                        yield spans(carry.feed(b"", True))
+                    name, carry, idx, offset = file, kernels.Carry(kind, sizes, config), 0, 0
+                yield spans(carry.feed(b.column("bytes")[k].as_py() or b""))
+        if carry is not None:
+            yield spans(carry.feed(b"", True))
+
+    ordered = pieces.select("file_name", "piece", "bytes").repartition("file_name").sortWithinPartitions("file_name", "piece")
+    out = ordered.mapInArrow(run, "file_name string, idx long, offset long, len long, data binary")
+    return out.withColumn("hash", hasher(hash_name).of(F.col("data"))) if hash_name else out
+
+
 def violations(spans: DataFrame, files: DataFrame, chunker: Chunker) -> DataFrame:
     """Counts of what must not be, over all payloads: gaps or overlaps, uncovered bytes, sizes out of bounds."""
     from pyspark.sql import Window
