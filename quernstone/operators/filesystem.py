@@ -1,9 +1,13 @@
 """A deduplicating store of files on Parquet tables, with handles, metrics and scrubbing.
 
-Tables below one folder: ``writes`` (a ledger of bytes), ``spans`` (recipes) and
-versions of ``chunks`` and ``target``. Writes append; a chunk is only added if
-its hash is absent. What names exist and where their recipes end is small and
-kept by the store object, and can be loaded again from the tables.
+Tables below one folder: ``ledger`` (what was created and written), ``spans``
+(recipes) and versions of ``chunks`` and ``target``. A store has one writer. Each
+step has a number: its chunks come first (only those whose hash is absent), then
+its spans in a folder of that number, then its row of the ledger. Spans without
+a row of the ledger do not count, and the next step replaces them, so a step that
+fails half way leaves no more than chunks that no recipe names. What names exist
+and where their recipes end is kept by the store object, a row for each file,
+and is the same when it is loaded again from the ledger.
 """
 
 from __future__ import annotations
@@ -12,7 +16,7 @@ import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone import schemas
@@ -20,7 +24,7 @@ from quernstone.constants import SEGMENT
 from quernstone.errors import AlreadyExists, InvalidInput, NotFound, PermissionDenied
 from quernstone.functions.hashing import hasher, ratio
 from quernstone.operators import store
-from quernstone.operators.chunkers import Chunker, chunk
+from quernstone.operators.chunkers import Chunker, chunk, chunk_pieces
 from quernstone.operators.ordered import running
 
 Scrubber = Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame, DataFrame]]
@@ -59,6 +63,8 @@ class _File:
     generation: int
     spans: int = 0
     size: int = 0
+    #: The sequence number of the file's first write.
+    first_seq: int | None = None
 
 
 class FileStore:
@@ -67,7 +73,7 @@ class FileStore:
     def __init__(self, spark: SparkSession, path: str, hash_name: str = "sha256", scrubber: Scrubber | None = None):
         self.spark, self.path, self.hasher, self.scrubber = spark, path.rstrip("/"), hasher(hash_name), scrubber
         self.files: dict[str, _File] = {}
-        self.version = self.writes = self.generations = self.opened = 0
+        self.version = self.writes = self.generations = self.steps = 0
         self._load()
 
     # Tables
@@ -92,18 +98,27 @@ class FileStore:
         at = self._at(table)
         return self.spark.read.schema(schema).parquet(at) if self._exists(at) else self.spark.createDataFrame([], schema)
 
-    def _append(self, df: DataFrame, table: str) -> None:
-        df.write.mode("append").parquet(self._at(table))
+    def _commit(self, kind: str, name: str, f: _File, first_seq: int, next_seq: int, spans: int = 0, size: int = 0, n_bytes: int = 0) -> None:
+        """The row of the ledger that makes a step count, and the same change in memory."""
+        row = (kind, name, f.generation, first_seq, next_seq, spans, size, n_bytes, self.steps)
+        self.spark.createDataFrame([row], schemas.LEDGER).drop("commit").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/ledger/commit={self.steps}")
+        self._apply(*row)
+
+    def _apply(self, kind: str, name: str, generation: int, first_seq: int, next_seq: int, spans: int, size: int, n_bytes: int, step: int) -> None:
+        if kind == "create":
+            self.files[name] = _File(generation)
+        f = self.files.get(name)
+        if f is not None and f.generation == generation and kind == "write":
+            f.spans, f.size = f.spans + spans, f.size + size
+            f.first_seq = first_seq if f.first_seq is None else f.first_seq
+        self.generations = max(self.generations, generation + 1)
+        self.writes, self.steps = max(self.writes, next_seq), step + 1
 
     def _load(self) -> None:
         while self._exists(f"{self.path}/chunks-{self.version + 1}"):
             self.version += 1
-        for r in self._table("spans", schemas.SPANS).groupBy("file_name", "generation").agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("size")).collect():
-            old = self.files.get(r.file_name)
-            if old is None or old.generation < r.generation:
-                self.files[r.file_name] = _File(r.generation, r.n, r.size)
-            self.generations = max(self.generations, r.generation + 1)
-        self.writes = self._table("writes", schemas.WRITES).count()
+        for r in self._table("ledger", schemas.LEDGER).orderBy("commit").collect():  # a row for each step
+            self._apply(*r)
 
     @property
     def chunks(self) -> DataFrame:
@@ -117,7 +132,13 @@ class FileStore:
     def spans(self, name: str) -> DataFrame:
         """The recipe of one file."""
         f = self._find(name)
-        return self._table("spans", schemas.SPANS).filter((F.col("file_name") == name) & (F.col("generation") == f.generation))
+        return self._spans().filter((F.col("file_name") == name) & (F.col("generation") == f.generation))
+
+    def _spans(self) -> DataFrame:
+        return self._table("spans", schemas.SPANS).filter(F.col("commit") < self.steps).drop("commit")
+
+    def _add_spans(self, rows: DataFrame) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.path}/spans/commit={self.steps}")
 
     # Files
 
@@ -136,8 +157,7 @@ class FileStore:
         """A new empty file; an old one of the name is replaced unless ``overwrite`` is false."""
         if name in self.files and not overwrite:
             raise AlreadyExists(name)
-        self.files[name] = _File(self.generations)
-        self.generations += 1
+        self._commit("create", name, _File(self.generations), self.writes, self.writes)
         return Handle(name, chunker)
 
     def open_file(self, name: str, chunker: Chunker) -> Handle:
@@ -153,43 +173,71 @@ class FileStore:
         return handle.measurements
 
     def write(self, handle: Handle, data: bytes | DataFrame) -> None:
-        """Appends bytes, or the ``bytes`` of a table in ``write_seq`` order, each row a write of its own."""
-        f = self._find(handle.file_name)
-        if handle.chunker is None:
-            raise PermissionDenied(handle.file_name)
+        """Appends bytes, or the ``bytes`` of a table in ``write_seq`` order, each row a write of its own.
+
+        A table of many rows is many tasks throughout: places along the file come
+        from running sums without payloads. ``write_seq`` is unique in the table.
+        """
+        self._check(handle)
         if isinstance(data, (bytes, bytearray)):
             data = self.spark.createDataFrame([(handle.file_name, 0, bytearray(data))], schemas.FILES)
-        sized = data.select("write_seq", F.octet_length("bytes").cast("long").alias("n"))
-        ledger = sized.agg(F.count(F.lit(1)).alias("k"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.max("write_seq"), F.lit(0)).alias("top")).first()
+        sized = data.agg(F.coalesce(F.sum(F.octet_length("bytes").cast("long")), F.lit(0)).alias("n"), F.coalesce(F.max("write_seq"), F.lit(-1)).alias("top")).first()
         files = data.select(F.lit(handle.file_name).alias("file_name"), (F.col("write_seq") + self.writes).alias("write_seq"), "bytes")
         began = time.perf_counter()
-        cut = chunk(files, handle.chunker, None)
-        cut.write.format("noop").mode("overwrite").save()
+        cut = self._staged(chunk(files, handle.chunker, None, with_data=True).drop("file_name", "offset"), "cut")
+        self._add(handle, cut, began, self.writes + sized.top + 1, sized.n)
+
+    def write_pieces(self, handle: Handle, pieces: DataFrame) -> None:
+        """Appends one write that arrives in pieces (``file_name, piece, bytes`` of one file); it may be longer than a row can be."""
+        self._check(handle)
+        began = time.perf_counter()
+        one = pieces.withColumn("file_name", F.lit(handle.file_name))
+        cut = chunk_pieces(one, handle.chunker, None).select(F.lit(self.writes).cast("long").alias("write_seq"), "idx", "len", "data")
+        cut = self._staged(cut, "cut")
+        self._add(handle, cut, began, self.writes + 1, cut.agg(F.coalesce(F.sum("len"), F.lit(0))).first()[0])
+
+    def _check(self, handle: Handle) -> None:
+        self._find(handle.file_name)
+        if handle.chunker is None:
+            raise PermissionDenied(handle.file_name)
+
+    def _staged(self, df: DataFrame, name: str) -> DataFrame:
+        at = f"{self.path}/stage-{self.steps}/{name}"
+        df.write.mode("overwrite").parquet(at)
+        return self.spark.read.schema(df.schema).parquet(at)
+
+    def _add(self, handle: Handle, cut: DataFrame, began: float, next_seq: int, n_bytes: int) -> None:
+        """Chunks, spans and the ledger's row of ``cut(write_seq, idx, len, data)``."""
+        f = self._find(handle.file_name)
         chunked = time.perf_counter()
-        stage = f"{self.path}/stage-{self.writes}-{self.generations}"
-        new = store.recipes(chunk(files, handle.chunker, self.hasher.name, with_data=True))
-        new.write.mode("overwrite").parquet(stage)
-        new = self.spark.read.parquet(stage)
-        hashed = time.perf_counter()
-        spans = new.select("file_name", F.lit(f.generation).cast("long").alias("generation"), (F.col("span_idx") + f.spans).alias("span_idx"), "write_seq", "hash", (F.col("offset") + f.size).alias("offset"), "len")
-        absent = store.insert_if_absent(self.chunks, store.first_payloads(new)).select("hash", "length", "data", F.lit(None).cast("array<binary>").alias("target_keys"))
-        count = spans.count()
-        self._append(absent, "chunks")
-        self._append(spans, "spans")
-        self._append(self.spark.createDataFrame([(self.writes, handle.file_name, ledger.n)], schemas.WRITES), "writes")
+        hashed = self._staged(cut.select("write_seq", "idx", "len", self.hasher.of(F.col("data")).alias("hash")), "hashed")
+        took = time.perf_counter() - chunked
+        first = store.insert_if_absent(self.chunks, hashed.groupBy("hash").agg(F.min(F.struct("write_seq", "idx")).alias("at"), F.min("len").alias("length")))
+        first = first.select("hash", "length", "at.write_seq", "at.idx")
+        absent = cut.select("write_seq", "idx", "data").join(first, ["write_seq", "idx"])
+        absent.select("hash", "length", "data", F.lit(None).cast("array<binary>").alias("target_keys")).write.mode("append").parquet(self._at("chunks"))
+        placed = running(hashed, "write_seq", ["write_seq", "idx"], {"upto": "len"}, place="n")
+        self._add_spans(placed.select(F.lit(handle.file_name).alias("file_name"), F.lit(f.generation).cast("long").alias("generation"), (F.col("n") - 1 + f.spans).alias("span_idx"), "write_seq", "hash", (F.col("upto") - F.col("len") + f.size).alias("offset"), "len"))
+        count = hashed.count()
+        stage = f"{self.path}/stage-{self.steps}"
+        self._commit("write", handle.file_name, f, self.writes, next_seq, count, n_bytes, n_bytes)
         self._drop(stage)
-        f.spans, f.size, self.writes = f.spans + count, f.size + ledger.n, self.writes + ledger.top + 1
-        handle.measurements += WriteMeasurements(chunked - began, max(0.0, hashed - chunked - (chunked - began)))
+        handle.measurements += WriteMeasurements(chunked - began, took)
 
     def read_complete(self, handle: Handle) -> bytes:
         """The whole file."""
         return b"".join(self._payloads(handle.file_name, 0))
 
     def read(self, handle: Handle, size: int = SEGMENT) -> bytes:
-        """The next whole spans of at most ``size`` bytes (a longer span alone), empty at the end; moves the cursor."""
+        """The next whole spans of at most ``size`` bytes (a longer span alone), empty at the end; moves the cursor.
+
+        Only spans that end within ``size`` bytes of the cursor are looked up.
+        """
         self._find(handle.file_name)
+        at = handle.offset
+        near = (F.col("offset") == at) | (F.col("offset") + F.col("len") <= at + size)
         out, n = [], 0
-        for part in self._payloads(handle.file_name, handle.offset):
+        for part in self._payloads(handle.file_name, at, near):
             if n and n + len(part) > size:
                 break
             out.append(part)
@@ -197,16 +245,20 @@ class FileStore:
         handle.offset += n
         return b"".join(out)
 
-    def _payloads(self, name: str, offset: int) -> Iterator[bytes]:
+    def _payloads(self, name: str, offset: int, near: Column | None = None) -> Iterator[bytes]:
         rest = self.spans(name).filter(F.col("offset") >= offset)
+        rest = rest if near is None else rest.filter(near)
         found = store.retrieve(rest, self.chunks, self.target).orderBy("span_idx").select("data")
         return (bytes(r.data) for r in found.toLocalIterator())
 
-    def content(self, names: list[str] | None = None) -> DataFrame:
-        """``file_name, content`` of all files or some, rebuilt on the executors."""
+    def payloads(self, names: list[str] | None = None) -> DataFrame:
+        """The spans of all files or some with their payloads, in no order."""
         live = self.spark.createDataFrame([(n, f.generation) for n, f in self.files.items() if names is None or n in names], "file_name string, generation long")
-        spans = self._table("spans", schemas.SPANS).join(F.broadcast(live), ["file_name", "generation"], "left_semi")
-        return store.reassemble(store.retrieve(spans, self.chunks, self.target))
+        return store.retrieve(self._spans().join(live, ["file_name", "generation"], "left_semi"), self.chunks, self.target)
+
+    def content(self, names: list[str] | None = None) -> DataFrame:
+        """``file_name, content`` of all files or some, rebuilt on the executors; a file must fit into a row."""
+        return store.reassemble(self.payloads(names))
 
     def write_to_disk(self, name: str, path: str) -> None:
         """The file's bytes at a new local path; an existing one is an error. Holds one segment at a time."""
@@ -222,7 +274,7 @@ class FileStore:
     # Measures
 
     def size_written(self) -> int:
-        return self._table("writes", schemas.WRITES).agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
+        return self._table("ledger", schemas.LEDGER).agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
 
     def metrics(self) -> dict[str, float]:
         """Sizes, counts and ratios; the average of an empty store is an error when it is asked for."""
@@ -273,23 +325,22 @@ class FileStore:
         spans = self.spans(handle.file_name).select((F.col("span_idx") + 1).alias("g"), "hash", "len")
         made = store.to_dedup_ratio(spans, wanted)
         name = f"{handle.file_name}.{wanted:.2f}"
-        f = _File(self.generations)
-        self.generations += 1
         turn = made.agg(F.coalesce(F.max(F.when(F.col("part") == 0, F.col("place"))), F.lit(0))).first()[0]
         placed = made.withColumn("_at", F.when(F.col("part") == 0, F.col("cycle") * turn + F.col("place")).otherwise(F.lit(1 << 40) + F.col("place")))
         placed = running(placed, "_at", ["_at"], {"upto": "len"}, place="n")
-        rows = placed.select(F.lit(name).alias("file_name"), F.lit(f.generation).cast("long").alias("generation"), (F.col("n") - 1).alias("span_idx"), F.lit(-1).cast("long").alias("write_seq"), "hash", (F.col("upto") - F.col("len")).alias("offset"), "len")
-        self._append(rows, "spans")
-        self.files[name] = f
-        f.spans, f.size = self.spans(name).agg(F.count(F.lit(1)), F.coalesce(F.sum("len"), F.lit(0))).first()
+        self._commit("create", name, _File(self.generations), self.writes, self.writes)
+        f = self._find(name)
+        self._add_spans(placed.select(F.lit(name).alias("file_name"), F.lit(f.generation).cast("long").alias("generation"), (F.col("n") - 1).alias("span_idx"), F.lit(-1).cast("long").alias("write_seq"), "hash", (F.col("upto") - F.col("len")).alias("offset"), "len"))
+        added = self._table("spans", schemas.SPANS).filter(F.col("commit") == self.steps).agg(F.count(F.lit(1)), F.coalesce(F.sum("len"), F.lit(0))).first()
+        self._commit("write", name, f, self.writes, self.writes, *added)
         return name
 
     def clear_database(self) -> None:
         """Forgets recipes, chunks and the bytes written; the target stays."""
-        for t in ("spans", "writes", "chunks"):
+        for t in ("ledger", "spans", "chunks"):  # without the ledger nothing counts
             self._drop(self._at(t))
         self.files.clear()
-        self.writes = 0
+        self.writes = self.steps = 0
 
     def clear(self) -> None:
         """Forgets everything."""

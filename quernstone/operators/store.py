@@ -7,6 +7,9 @@ only, so that column pruning keeps payloads out of the plan.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,8 +40,11 @@ def unique_chunks(spans: DataFrame) -> DataFrame:
 
 
 def first_payloads(spans: DataFrame) -> DataFrame:
-    """One payload a hash, chosen by place before any payload is moved."""
-    return spans.dropDuplicates(["hash"]).select("hash", F.col("len").alias("length"), "data")
+    """One payload a hash: that of its first place (file, write, index), chosen without payloads and then joined."""
+    place = ["file_name", "write_seq", "idx"]
+    first = spans.groupBy("hash").agg(F.min(F.struct(*place)).alias("_at"), F.min("len").alias("length"))
+    first = first.select("hash", "length", *[F.col(f"_at.{c}").alias(c) for c in place])
+    return spans.select(*place, "data").join(first, place).select("hash", "length", "data")
 
 
 def insert_if_absent(chunks: DataFrame, new: DataFrame) -> DataFrame:
@@ -90,16 +96,35 @@ def chunk_count_distribution(spans: DataFrame, include_last: bool = False) -> Da
 def segments(spans: DataFrame, size: int = SEGMENT) -> DataFrame:
     """Greedy segments of whole spans, at most ``size`` bytes each; a longer span stands alone.
 
-    A fold over the ordered lengths of one file, kept in the JVM.
+    One pass over the ordered lengths of each file, a number at a time.
     """
-    lengths = spans.groupBy("file_name").agg(F.transform(F.sort_array(F.collect_list(F.struct("span_idx", "len"))), lambda s: s["len"]).alias("_lens"))
-    zero = "cast(0 as bigint)"
-    packed = F.expr(f"""aggregate(_lens, named_struct('acc', {zero}, 'seg', cast(-1 as bigint), 'out', cast(array() as array<bigint>)),
-        (a, x) -> if(a.seg >= 0 and a.acc + x <= {size},
-            named_struct('acc', a.acc + x, 'seg', a.seg, 'out', concat(a.out, array(a.seg))),
-            named_struct('acc', x, 'seg', a.seg + 1, 'out', concat(a.out, array(a.seg + 1)))), a -> a.out)""")
-    placed = lengths.select("file_name", "_lens", packed.alias("_segs")).select("file_name", F.explode(F.arrays_zip("_lens", "_segs")).alias("z"))
-    return placed.groupBy("file_name", F.col("z._segs").alias("segment")).agg(F.count(F.lit(1)).alias("n_spans"), F.sum("z._lens").alias("n_bytes"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, segment, count, total = None, -1, 0, 0
+        for b in batches:
+            out = []
+            for file, n in zip(b.column("file_name").to_pylist(), b.column("len").to_pylist(), strict=True):
+                if segment < 0 or file != name or (count and total + n > size):
+                    if count:
+                        out.append((name, segment, count, total))
+                    name, segment, count, total = file, segment + 1 if file == name and segment >= 0 else 0, 0, 0
+                count, total = count + 1, total + n
+            yield _segments(out)
+        if count:
+            yield _segments([(name, segment, count, total)])
+
+    ordered = spans.select("file_name", "span_idx", "len").repartition("file_name").sortWithinPartitions("file_name", "span_idx")
+    return ordered.mapInArrow(run, "file_name string, segment long, n_spans long, n_bytes long")
+
+
+def _segments(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"file_name": pa.string(), "segment": pa.int64(), "n_spans": pa.int64(), "n_bytes": pa.int64()}
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds.values())], names=list(kinds))
+
+
+def _joined(data: str, order: str) -> Column:
+    """Binary parts of a group in order, as one."""
+    return F.coalesce(F.expr(f"listagg({data}) within group (order by {order})"), F.lit(b""))
 
 
 def retrieve(spans: DataFrame, chunks: DataFrame, target: DataFrame | None = None) -> DataFrame:
@@ -113,8 +138,8 @@ def retrieve(spans: DataFrame, chunks: DataFrame, target: DataFrame | None = Non
     if target is None:
         return out.withColumn("data", F.coalesce("_data", miss)).drop("_data")
     moved = chunks.filter("target_keys is not null").select("hash", F.posexplode("target_keys").alias("_pos", "key"))
-    moved = moved.join(target.withColumnRenamed("data", "_part"), "key", "left").groupBy("hash").agg(F.sort_array(F.collect_list(F.struct("_pos", F.coalesce("_part", F.raise_error(F.lit("missing target")).cast("binary")).alias("_part")))).alias("_parts"))
-    joined = moved.select("hash", F.aggregate("_parts", F.lit(b""), lambda a, p: F.concat(a, p["_part"])).alias("_moved"))
+    moved = moved.join(target.withColumnRenamed("data", "_part"), "key", "left").withColumn("_part", F.coalesce("_part", F.raise_error(F.lit("missing target")).cast("binary")))
+    joined = moved.groupBy("hash").agg(_joined("_part", "_pos").alias("_moved"))
     return out.join(joined, "hash", "left").withColumn("data", F.coalesce("_data", "_moved", miss)).drop("_data", "_moved", "target_keys")
 
 
@@ -125,18 +150,29 @@ def missing(spans: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def reassemble(with_data: DataFrame) -> DataFrame:
     """Whole files from spans with payload: ``file_name, content``. A group is one file."""
-    parts = with_data.groupBy("file_name").agg(F.sort_array(F.collect_list(F.struct("span_idx", "data"))).alias("_parts"))
-    return parts.select("file_name", F.aggregate("_parts", F.lit(b""), lambda a, p: F.concat(a, p["data"])).alias("content"))
+    return with_data.groupBy("file_name").agg(_joined("data", "span_idx").alias("content"))
 
 
 def verify(files: DataFrame, content: DataFrame) -> DataFrame:
     """Files whose stored content differs from what was written; a missing file differs unless it is empty."""
-    whole = files.groupBy("file_name").agg(F.sort_array(F.collect_list(F.struct("write_seq", "bytes"))).alias("_w"))
-    whole = whole.select("file_name", F.aggregate("_w", F.lit(b""), lambda a, p: F.concat(a, p["bytes"])).alias("wrote"))
+    whole = files.groupBy("file_name").agg(_joined("bytes", "write_seq").alias("wrote"))
     both = whole.join(content, "file_name", "left").withColumn("content", F.coalesce("content", F.lit(b"")))
     return both.filter((F.octet_length("wrote") != F.octet_length("content")) | (F.sha2("wrote", 256) != F.sha2("content", 256))).select("file_name")
 
 
+def verify_writes(files: DataFrame, with_data: DataFrame) -> DataFrame:
+    """Writes ``file_name, write_seq`` whose spans differ from their bytes; a file of many writes is many groups.
+
+    Digests and lengths are compared, so no two payloads meet; spans of a write
+    that ``files`` does not have differ too.
+    """
+    key = ["file_name", "write_seq"]
+    stored = with_data.groupBy(*key).agg(_joined("data", "span_idx").alias("_c")).select(*key, F.sha2("_c", 256).alias("_stored"))
+    wrote = files.select(*key, F.sha2(F.coalesce("bytes", F.lit(b"")), 256).alias("_wrote"))
+    nothing = F.sha2(F.lit(b""), 256)
+    return wrote.join(stored, key, "full").filter(F.coalesce("_wrote", nothing) != F.coalesce("_stored", nothing)).select(*key)
+
+
 def corpus_spans(spans: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Spans of many files as those of one file, in an order that grows with the integer ``key``."""
     return running(written(spans.select("hash", "len", *dict.fromkeys([key, *order]))), key, order, {}, place="g").select("g", "hash", "len")

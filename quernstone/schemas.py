@@ -1,8 +1,9 @@
 """Schemas of the store's tables and of its reports, as DDL."""
 
 FILES = "file_name string, write_seq long, bytes binary"
-WRITES = "write_seq long, file_name string, n_bytes long"
-SPANS = "file_name string, generation long, span_idx long, write_seq long, hash binary, offset long, len long"
+#: What was done, in order of ``commit``: files created, and writes with the sequence numbers, spans and bytes they added.
+LEDGER = "kind string, file_name string, generation long, first_seq long, next_seq long, spans long, size long, n_bytes long, commit long"
+SPANS = "file_name string, generation long, span_idx long, write_seq long, hash binary, offset long, len long, commit long"
 CHUNKS = "hash binary, length long, data binary, target_keys array<binary>"
 TARGET = "key binary, data binary"
 MEASURE = (

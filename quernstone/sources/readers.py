@@ -31,12 +31,12 @@ def files(spark: SparkSession, path: str) -> DataFrame:
 def pieces(spark: SparkSession, path: str, size: int = SEGMENT) -> DataFrame:
     """The files at ``path`` in pieces of ``size`` bytes: ``file_name, piece, offset, bytes``; no file need fit into a row.
 
-    An empty file has one empty piece. The driver makes a row for each file; a
-    task opens its files itself, at any path that Arrow's file systems can read.
+    Empty files are left out, as by Spark's file source. A task opens its files
+    itself, at any path that Arrow's file systems can read.
     """
     if size < 1:
         raise InvalidInput("a piece needs at least one byte")
-    each = F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), F.expr(f"(size - 1) div {size}")))
+    each = F.sequence(F.lit(0).cast("long"), F.expr(f"(size - 1) div {size}"))
     wanted = datasets(spark, path).select("path", F.col("name").alias("file_name"), F.explode(each).alias("piece"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

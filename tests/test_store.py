@@ -191,3 +191,93 @@ def test_distribution_round_trip(spark, tmp_path):
     path = save_distribution(str(tmp_path), "d", "FastCDC (2020), sizes: 1", 100, df)
     assert path.endswith("distribution-d-FastCDC (2020)-100.json") and json.load(open(path)) == [[0, 5], [100, 2]]
     assert sorted(map(tuple, distribution(spark, path).collect())) == [(0, 5), (100, 2)]
+
+
+def test_reopened_store_is_the_same(spark, tmp_path):
+    path = str(tmp_path / "s")
+    fs = FileStore(spark, path)
+    write(fs, "empty")
+    write(fs, "replaced", b"old content")
+    fs.create_file("replaced", FIXED)
+    h = write(fs, "kept", b"one")
+    three = spark.createDataFrame([("x", k, bytearray(d)) for k, d in enumerate([b"two", b"", b""])], "file_name string, write_seq long, bytes binary")
+    fs.write(h, three)
+    name = fs.to_dedup_ratio(h, 1.0)
+    again = FileStore(spark, path)
+    assert again.list_files() == fs.list_files() == ["empty", "kept", name, "replaced"]
+    assert (again.writes, again.steps, again.generations, again.files) == (fs.writes, fs.steps, fs.generations, fs.files) and again.writes == 5
+    assert [again.read_complete(again.open_readonly(n)) for n in ("empty", "replaced", "kept")] == [b"", b"", b"onetwo"]
+    again.write(again.open_file("empty", FIXED), b"now full")
+    assert again.spans("empty").select("write_seq").collect() == [(5,)]
+    last = FileStore(spark, path)
+    assert last.read_complete(last.open_readonly("empty")) == b"now full" and last.size_written() == 25
+
+
+def test_a_step_that_fails_half_way_does_not_count(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "s")
+    fs = FileStore(spark, path)
+    h = write(fs, "f", b"begin")
+
+    def lost(*a, **k):
+        raise OSError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(fs, "_commit", lost)
+        with pytest.raises(OSError):
+            fs.write(h, b" lost")
+    for s in (fs, FileStore(spark, path)):
+        assert s.read_complete(s.open_readonly("f")) == b"begin" and s.size_written() == 5
+    again = FileStore(spark, path)
+    again.write(again.open_file("f", FIXED), b" lost")
+    assert again.read_complete(again.open_readonly("f")) == b"begin lost" and again.metrics()["chunk_count"] == 2
+
+
+def test_a_table_of_many_writes_under_one_name(spark, tmp_path):
+    fs = FileStore(spark, str(tmp_path / "s"))
+    n = 200_000
+    rows = spark.range(n).select(F.lit("x").alias("file_name"), F.col("id").alias("write_seq"), F.concat(F.lit("row "), F.col("id") % 1000).cast("binary").alias("bytes"))
+    h = write(fs, "big", rows)
+    assert fs.metrics()["chunk_count"] == 1000 and fs.files["big"].spans == n
+    assert store.verify_writes(rows.withColumn("file_name", F.lit("big")), fs.payloads()).isEmpty()
+    at = fs.spans("big").agg(F.count_distinct("span_idx"), F.max("span_idx"), F.max(F.col("offset") + F.col("len"))).first()
+    assert tuple(at) == (n, n - 1, fs.files["big"].size)
+    handle = fs.open_readonly("big")
+    handle.offset = fs.spans("big").filter("span_idx = 150000").first().offset
+    assert fs.read(handle, 20) == b"row 0row 1row 2row 3"
+    assert h.measurements.chunk_time > 0
+
+
+def test_writes_that_differ_are_named(spark):
+    files = spark.createDataFrame([("f", 0, bytearray(b"abc")), ("f", 1, bytearray(b"")), ("g", 0, bytearray(b"xyz"))], "file_name string, write_seq long, bytes binary")
+    cut = chunk(files, fixed(2), with_data=True)
+    spans = store.recipes(cut.drop("data"))
+    good = store.retrieve(spans, store.first_payloads(cut))
+    assert store.verify_writes(files, good).isEmpty()
+    bad = good.filter("file_name <> 'g'")
+    assert [tuple(r) for r in store.verify_writes(files, bad).collect()] == [("g", 0)]
+    assert [tuple(r) for r in store.verify_writes(files.filter("file_name = 'f'"), good).collect()] == [("g", 0)]
+
+
+def test_files_in_pieces(spark, tmp_path):
+    import numpy as np
+
+    from quernstone.operators.chunkers import chunk_pieces
+    from quernstone.sources import readers
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    rng = np.random.default_rng(3)
+    made = {"a.bin": rng.integers(0, 4, 300_000, dtype=np.uint8).tobytes(), "b.bin": rng.integers(0, 256, 100_001, dtype=np.uint8).tobytes(), "none.bin": b""}
+    for name, data in made.items():
+        (folder / name).write_bytes(data)
+    pieces = readers.pieces(spark, str(folder), 10_000)
+    assert {(r.file_name, r.n) for r in pieces.groupBy("file_name").agg(F.count("*").alias("n")).collect()} == {("a.bin", 30), ("b.bin", 11)}
+    whole = readers.files(spark, str(folder))
+    for c in (fixed(777), *(cdc(k, Sizes(128, 512, 4096)) for k in ("fast", "rabin", "leap", "ultra", "super", "seq", "seq-decreasing"))):
+        got = sorted((r.file_name, r.idx, r.offset, r.len, bytes(r.hash)) for r in chunk_pieces(pieces, c).drop("data").collect())
+        assert got == sorted((r.file_name, r.idx, r.offset, r.len, bytes(r.hash)) for r in chunk(whole, c).collect()), c.kind
+    fs = FileStore(spark, str(tmp_path / "s"))
+    h = fs.create_file("f", cdc("fast", Sizes(128, 512, 4096)))
+    fs.write_pieces(h, pieces.filter("file_name = 'a.bin'"))
+    fs.write(h, b"tail")
+    assert fs.read_complete(h) == made["a.bin"] + b"tail" and fs.size_written() == 300_004
