@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quernstone.functions.kernels import KERNELS, Sizes
 from quernstone.operators import store
-from quernstone.operators.chunkers import cdc, chunk, fixed, violations
+from quernstone.operators.chunkers import cdc, chunk, chunk_pieces, fixed, violations
 
 Query = Callable[[SparkSession, str], DataFrame]
 SMALL = Sizes(128, 256, 1024)
@@ -131,8 +131,9 @@ def _by(column: str) -> None:
 
     def run(spark: SparkSession, d: str) -> DataFrame:
         docs = _read(spark, d, "documents")
-        files = store.files_of(docs, "doc_id", "text").select("file_name", "write_seq", "bytes")
-        cut = chunk(files.join(docs.select(F.col("doc_id").cast("string").alias("file_name"), column), "file_name").select(F.col(column).alias("file_name"), F.col("file_name").cast("long").alias("write_seq"), "bytes"), fixed(1024))
+        # The column takes the place of the file's name, so the texts are chunked where they are read.
+        files = docs.select(F.col(column).alias("file_name"), F.col("doc_id").alias("write_seq"), F.col("text").cast("binary").alias("bytes"))
+        cut = chunk(files, fixed(1024))
         return store.dedup_measures(cut.withColumnRenamed("file_name", column), by=[column]).select(column, "size_written", "unique_size", "chunk_count", "cdc_dedup_ratio")
 
     query(f"dedup_ratio_by_{column}", sql)(run)
@@ -193,10 +194,16 @@ def retrieve_join(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("file_name").cast("long").alias("doc_id"), F.col("span_idx").alias("idx"), F.sha2("data", 256).alias("digest"))
 
 
-@query("missing_chunks", f"WITH {_cut()} SELECT doc_id, idx FROM c WHERE h NOT IN (SELECT h FROM c WHERE doc_id % 7 <> 0)")
+@query("missing_chunks", f"WITH {_cut(64)}, {_cut(64, 'pages').replace('c AS', 'p AS', 1)} SELECT doc_id, idx FROM c WHERE h NOT IN (SELECT h FROM p)")
 def missing_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of the documents that a store of the pages lacks."""
+    return store.missing(_fixed(spark, d, 64), store.unique_chunks(_fixed(spark, d, 64, name="pages"))).select("doc_id", "idx")
+
+
+@query("missing_in_own_store", "SELECT doc_id, 0::BIGINT AS idx FROM documents WHERE false")
+def missing_in_own_store(spark: SparkSession, d: str) -> DataFrame:
     spans = _fixed(spark, d)
-    return store.missing(spans, store.unique_chunks(spans.filter("doc_id % 7 <> 0"))).select("doc_id", "idx")
+    return store.missing(spans, store.unique_chunks(spans)).select("doc_id", "idx")
 
 
 @query("insert_if_absent", f"WITH {_cut()} SELECT DISTINCT h AS hash, len AS length FROM c WHERE source = 'src1' AND h NOT IN (SELECT h FROM c WHERE source = 'src0')")
@@ -324,6 +331,48 @@ for _kind in list(KERNELS):
     _round_trip(_kind, cdc(_kind, SMALL))
 
 
+def _pieces(spark: SparkSession, d: str, size: int = 1000) -> DataFrame:
+    """The documents' bytes in pieces."""
+    files = _files(spark, d).withColumn("n", F.octet_length("bytes"))
+    each = files.select("file_name", "bytes", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.expr(f"cast((n - 1) div {size} as int)")))).alias("piece"))
+    return each.select("file_name", "piece", (F.col("piece") * size).cast("long").alias("offset"), F.substring("bytes", F.col("piece") * size + 1, F.lit(size)).alias("bytes"))
+
+
+for _kind in ("fixed-size", *KERNELS):
+    _chunker = fixed(777) if _kind == "fixed-size" else cdc(_kind, SMALL)
+
+    def _stream(spark: SparkSession, d: str, chunker=_chunker) -> DataFrame:
+        """Files that arrive in pieces, chunked with a carry between them and put together again."""
+        spans = chunk_pieces(_pieces(spark, d), chunker, None)
+        return _digests(store.reassemble(spans.withColumnRenamed("idx", "span_idx")))
+
+    def _same(spark: SparkSession, d: str, chunker=_chunker) -> DataFrame:
+        """Spans that are cut from pieces but not from the whole payload, or the other way round."""
+        one = chunk_pieces(_pieces(spark, d), chunker, None).select("file_name", "idx", "offset", "len")
+        two = chunk(_files(spark, d), chunker, None).select("file_name", "idx", "offset", "len")
+        both = one.withColumn("side", F.lit(1)).union(two.withColumn("side", F.lit(-1))).groupBy("file_name", "idx", "offset", "len").agg(F.sum("side").alias("side"))
+        return both.agg(F.count_if(F.col("side") != 0).alias("different"), F.countDistinct("file_name").alias("files"))
+
+    query(f"stream_roundtrip_{_kind.replace('-', '_')}", _WHOLE)(_stream)
+    query(f"stream_cuts_{_kind.replace('-', '_')}", "SELECT 0::BIGINT AS different, count(*)::BIGINT AS files FROM documents WHERE text <> ''")(_same)
+
+
+@query("verify_writes", "SELECT count(*)::BIGINT AS writes, 0::BIGINT AS mismatches FROM conversations")
+def verify_writes(spark: SparkSession, d: str) -> DataFrame:
+    """Every turn of a conversation is a write of its file; each is compared by itself."""
+    files = store.files_of(_read(spark, d, "conversations"), "conv_id", "text", F.col("turn"))
+    cut = chunk(files, fixed(64), with_data=True)
+    bad = store.verify_writes(files, store.retrieve(store.recipes(cut.drop("data")), store.first_payloads(cut)))
+    return files.agg(F.count(F.lit(1)).alias("writes")).crossJoin(bad.agg(F.count(F.lit(1)).alias("mismatches")))  # one row each
+
+
+@query("scrub_nothing", _with("SELECT h AS hash, len AS length, 0::BIGINT AS processed_data, 0::BIGINT AS data_left FROM u"))
+def scrub_nothing(spark: SparkSession, d: str) -> DataFrame:
+    """The chunk table after the pass that changes nothing, with what that pass reports."""
+    chunks, _, done = store.scrub_nothing(*_store(spark, d)[1:])
+    return chunks.select(_hex().alias("hash"), "length").crossJoin(done)  # one row
+
+
 @query("param_grid", """SELECT a AS min_size, b AS avg_size, c AS max_size FROM (SELECT unnest([1024, 2048, 4096])::BIGINT AS a), (SELECT unnest([4096, 20000])::BIGINT AS b), (SELECT unnest([40000, 60000, 10000])::BIGINT AS c) WHERE a <= b AND b <= c""")
 def param_grid(spark: SparkSession, d: str) -> DataFrame:
     one = lambda name, values: spark.range(1).select(F.explode(F.array(*[F.lit(v).cast("long") for v in values])).alias(name))
