@@ -11,8 +11,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder (tests, a laptop).
-DEFAULT_DIR = "file:///tmp/checkpoints/quernstone"
+from quernstone.operators.tables import shared_dir
 
 #: The white space of the word pattern ``[^\x20\x09-\x0D]+``.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -36,7 +35,7 @@ class Work:
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        base = spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_DIR
+        base = shared_dir(spark)
         self.spark = spark
         self.path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
         _MADE.append(self)
