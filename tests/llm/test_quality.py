@@ -82,3 +82,24 @@ def test_long_documents_pad_no_others():
         got[at2[real2]] = m[real2]
         pairs += own
     assert np.allclose(got[at[real]], want[real]) and np.allclose(pairs, want_pairs)
+
+
+def test_scores_equal_enumeration():
+    rng = np.random.default_rng(8)
+    n = quality.N_FEATURES
+    model = quality.Model(rng.normal(size=n), rng.uniform(0.5, 2, n), rng.normal(size=(n, 2)) / 4, rng.normal(size=(2, 2)), 1.7, -0.4)
+    texts = ["One line.\nONE!! LINE!!\n\nx | y | z", None, "", "a b c.\n\n\t\nd e f 1 2 3\n$$ ## g\nd e f 1 2 3\nlast", "single"]
+    for text, got in zip(texts, model.score(texts), strict=True):
+        kept = [x for x in (text or "").split("\n") if x.split()]
+        sizes = np.array([sum(len(w.encode()) for w in x.split()) for x in kept], float)
+        share = 0.5
+        if kept:
+            unary = np.clip((quality.features([text]).x - model.mean) / model.scale, -6, 6) @ model.unary
+            total, good = 0.0, np.zeros(len(kept))
+            for y in itertools.product((0, 1), repeat=len(kept)):
+                p = np.exp(sum(unary[i, y[i]] for i in range(len(y))) + sum(model.pair[y[i], y[i + 1]] for i in range(len(y) - 1)))
+                total += p
+                good += p * np.array(y)
+            share = (good / total * sizes).sum() / sizes.sum()
+        share = min(max(share, 1e-4), 1 - 1e-4)
+        assert np.isclose(got, 1 / (1 + np.exp(-(1.7 * np.log(share / (1 - share)) - 0.4))))
