@@ -53,6 +53,16 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of ``op2_mix`` that SQL can express."""
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target")
+
+
+def pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of ``op5_pii`` that SQL can express."""
+    return pii.digest_rows(table(spark, sf_dir, "documents")).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html": op1_html,
     "op2_mix": op2_mix,
@@ -64,6 +74,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_vectors": op8_vectors,
     "op9_pack": op9_pack,
     "op10_quality": op10_quality,
+    "mix_targets": mix_targets,
+    "pii_counts": pii_counts,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -106,10 +118,32 @@ m AS (SELECT a, min(b) AS least FROM r GROUP BY a), k AS (SELECT a, count(*) AS
 SELECT vec_id, coalesce(k.n, 0)::BIGINT AS n_links, least(vec_id, coalesce(m.least, vec_id)) AS component_id, vec_id <= coalesce(m.least, vec_id) AS kept
 FROM embeddings LEFT JOIN m ON m.a = vec_id LEFT JOIN k ON k.a = vec_id"""
 
+# A target is three times all words, less twice those of the sources at their limit, by weight; the sources of least size for their weight reach theirs first.
+_MIX = rf"""WITH d AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS n, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM d GROUP BY source),
+w AS (SELECT *, [3, 1, 2][1 + (place - 1) % 3] AS weight, sum(n) OVER () AS words FROM s),
+c AS (SELECT *, sum(n) OVER before AS full_words, sum(weight) OVER after AS open_weight FROM w
+    WINDOW before AS (ORDER BY n / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), after AS (ORDER BY n / weight, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+u AS (SELECT (3 * words - 4 * coalesce(full_words, 0))::BIGINT AS wanted, (2 * open_weight)::BIGINT AS parts FROM c
+    WHERE weight * (3 * words - 4 * coalesce(full_words, 0)) <= 4 * n * open_weight ORDER BY n / weight, place LIMIT 1)
+SELECT doc_id, size, n AS source_size, CASE WHEN weight * wanted <= 2 * n * parts THEN (weight * wanted)::DOUBLE / parts::DOUBLE ELSE (2 * n)::DOUBLE END AS target
+FROM d JOIN w ON d.source IS NOT DISTINCT FROM w.source CROSS JOIN u"""
+
+_PII = r"""WITH f AS (SELECT doc_id, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS email,
+    regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') AS ip, regexp_extract_all(t, '[0-9]([\x20-]?[0-9])+') AS card,
+    regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]') AS phone FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))
+SELECT doc_id, len(email)::BIGINT AS n_email,
+    len(list_filter(ip, lambda x: len(list_filter(string_split(x, '.'), lambda p: length(ltrim(p, '0')) > 3 OR lpad(ltrim(p, '0'), 3, '0') > '255')) = 0))::BIGINT AS n_ip,
+    len(list_filter(list_transform(card, lambda x: reverse(regexp_replace(x, '[^0-9]', '', 'g'))), lambda d: length(d) BETWEEN 12 AND 19
+        AND list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN i % 2 = 1 THEN d[i]::INT ELSE (2 * d[i]::INT) // 10 + (2 * d[i]::INT) % 10 END)) % 10 = 0))::BIGINT AS n_card,
+    len(list_filter(phone, lambda x: length(regexp_replace(x, '[^0-9]', '', 'g')) BETWEEN 9 AND 15))::BIGINT AS n_phone FROM f"""
+
 #: SQL that gives the same rows. The others need trees, tokens, checksums or a seeded order, and are tested against brute force.
 ORACLES: dict[str, str] = {
     "op3_substrings": _OP3,
     "op4_neardup": _OP4,
     "op7_rules": _OP7,
     "op8_vectors": _OP8,
+    "mix_targets": _MIX,
+    "pii_counts": _PII,
 }
