@@ -5,8 +5,9 @@ code, numbers them, and compares every vector with the :data:`WINDOW` before it
 that order; a window depends on the numbers only, not on how rows are partitioned.
 Verified pairs of all passes are united. How well a pass thins the order around a
 vector is measured there, and vectors in regions too dense for the passes so far
-go on: through further passes, or compared with each other block by block where
-that is cheaper. The links of a vector all lie in its component, so its number of
+go on through further passes; where those measures say that too many would be
+needed, the vectors left are compared with each other block by block. Neither
+step is chosen by the size of the input. The links of a vector all lie in its component, so its number of
 links is counted there, block by block.
 """
 
@@ -33,8 +34,8 @@ BLOCK, LARGEST_BLOCK = 128, 1024
 SEED = 91
 #: Windows in a stretch of the order, which one task compares and measures at once; and about the fewest rows of a task.
 STRETCH, LEAST_TASK = 16, 1 << 13
-#: Passes of one further round.
-ROUND = 64
+#: Passes of one further round; and beyond how many further passes what is left is compared all with all.
+ROUND, MOST_FURTHER = 64, 512
 _NULL_ID = -(1 << 63)
 _GRID = np.linspace(0, 5, 2048)
 _PHI = np.array([0.5 * (1 + math.erf(t / math.sqrt(2))) for t in _GRID])
@@ -108,14 +109,16 @@ def near_edges(vectors: DataFrame, n: int, window: int = WINDOW, least: float =
     """A spanning forest ``a, b`` of verified pairs; one at cosine ``least`` is missed with a chance of about :data:`MISS`.
 
     ``vectors(id, dims, raw)``: distinct vectors as little-endian floats of numpy type ``kind``.
-    After the passes that vectors of even directions need, each vector has a
-    measured chance that a pair of it was missed. Those above :data:`MISS` meet
-    each other in further passes; a pair of theirs is settled when either is. All
-    pairs of them are compared where that means fewer copies than passes.
+    After the passes that vectors of even directions need, at every size of the
+    input, each vector has a measured chance that a pair of it was missed. Those
+    above :data:`MISS` meet each other in further passes; a pair of theirs is
+    settled when either is. All pairs of them are compared once a tenth of them
+    would need more than :data:`MOST_FURTHER` further passes, as the measures go.
     """
     work = Work(vectors.sparkSession, "windows")
-    left, missed, edges, done, count = vectors, None, [], 0, passes(n, window, cosine=least)
-    while n > 2 * LARGEST_BLOCK * count:
+    first = passes(n, window, cosine=least)
+    left, missed, edges, done, count = vectors, None, [], 0, first
+    while True:
         found, chance = window_edges(left, n, done, count, work, window, least, kind)
         edges.append(found)
         chance = chance if missed is None else chance.union(missed)
@@ -128,9 +131,8 @@ def near_edges(vectors: DataFrame, n: int, window: int = WINDOW, least: float =
         if not n:
             return _union(edges)
         left, count = work.save(vectors.join(missed.select("id"), "id", "left_semi"), f"left{done}"), min(max(need, 1), ROUND)
-        if n <= 2 * LARGEST_BLOCK * max(need, 1):
-            break
-    return _union([*edges, block_edges(left, least, kind=kind)])
+        if done - first + need > MOST_FURTHER:
+            return _union([*edges, block_edges(left, least, kind=kind)])
 
 
 def _union(tables: list[DataFrame]) -> DataFrame:

@@ -105,6 +105,20 @@ def test_a_third_of_the_vectors_in_one_cone(spark, monkeypatch, most):
     assert lost <= 0.01 * pairs and len(set(found.values())) >= n - pairs - 100
 
 
+@pytest.mark.parametrize(("further", "mean"), [(vectors.MOST_FURTHER, 0.7), (0, 0.7), (vectors.MOST_FURTHER, 0.0)])
+def test_a_small_input_goes_through_the_passes_too(spark, monkeypatch, further, mean):
+    """Blocks get only what the passes leave, never the input because it is small."""
+    blocks, n, pairs = [], 3000, 300
+    whole = vectors.block_edges
+    monkeypatch.setattr(vectors, "block_edges", lambda left, *a, **k: blocks.append(left.count()) or whole(left, *a, **k))
+    monkeypatch.setattr(vectors, "MOST_FURTHER", further)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(cone(n, pairs, mean))], "vec_id long, embedding array<float>")
+    found = {r.vec_id: r.component_id for r in vectors.near_duplicates(df, window=32).select("vec_id", "component_id").collect()}
+    lost = sum(found[i] != found[i + pairs] for i in range(n - 2 * pairs, n - pairs))
+    assert lost <= 0.01 * pairs and len(found) == n
+    assert len(blocks) == (further == 0) and all(0 < b <= n // 2 for b in blocks)
+
+
 @pytest.mark.parametrize("few", [0, 8, graph.FEW_EDGES])
 def test_components(spark, monkeypatch, few):
     monkeypatch.setattr(graph, "FEW_EDGES", few)
