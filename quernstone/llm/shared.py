@@ -19,13 +19,19 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: Rows in an Arrow batch of whole texts, unless the session sets its own.
 BATCH_ROWS = 1000
+#: Rows that a Parquet reader decodes at once, unless the session sets its own.
+READER_ROWS = 256
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lower the session's default of 10,000 rows a batch: a row may be a long text, and batches are held outside the heap."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Lower the session's defaults of 10,000 rows an Arrow batch and 4,096 a read.
+
+    A row may be a long text. Arrow batches are held outside the heap; a reader's texts are one array, which doubles as it
+    fills and, above half a region, goes to the old generation at once, so that the heap grows.
+    """
+    for key, usual, rows in (("execution.arrow.maxRecordsPerBatch", 10_000, BATCH_ROWS), ("parquet.columnarReaderBatchSize", 4096, READER_ROWS)):
+        if spark.conf.get(f"spark.sql.{key}") == str(usual):
+            spark.conf.set(f"spark.sql.{key}", str(rows))
 
 
 class Work:
