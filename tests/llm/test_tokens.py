@@ -3,6 +3,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from quernstone.llm import tokens
 from quernstone.llm.tokens import encoder
 
 
@@ -27,3 +28,37 @@ def test_corpus_rows_equal():
         e = encoder(name)
         for t, ids in zip(texts, e.encode(texts), strict=True):
             assert np.array_equal(ids, e.tokenizer.encode(t, add_special_tokens=False).ids)
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_small_blocks_and_few_slots(name, monkeypatch):
+    monkeypatch.setattr(tokens, "BLOCK", 7)
+    monkeypatch.setattr(tokens, "_SLOT_BITS", 3)
+    monkeypatch.setattr(tokens, "CACHE_PIECES", 9)
+    e = tokens.Encoder(name)
+    words = ["it", "'s", "É", "seventeen-letters", "abcdefghijklmnop", "abcdefghijklmnopq", "a" * 40, "é,", "×", "ñ÷", "3rd!", "中文", "\n", "\n\n", " ", "  ", "“x”", "\0", "€", "ab\0", "ab"]
+
+    @settings(max_examples=300, deadline=None)
+    @given(st.lists(st.one_of(st.none(), st.lists(st.sampled_from([*words, *(f" {w}" for w in words)]), max_size=12).map("".join)), max_size=6))
+    def same(texts):
+        for t, ids in zip(texts, e.encode(texts), strict=True):
+            assert ids.tolist() == e.tokenizer.encode(t or "", add_special_tokens=False).ids
+
+    same()
+
+
+def test_pieces_met_again_are_kept(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_PIECES", 100)
+    e = tokens.Encoder("byte_bpe_50k.json")
+    asked, model = [], e.model
+
+    class Model:
+        def tokenize(self, letters):
+            asked.append(letters)
+            return model.tokenize(letters)
+
+    e.model = Model()
+    for i in range(40):
+        new = "".join(f" {chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + j)}x" for j in range(20))
+        assert e.encode([f"often these{new} often these"])[0].tolist() == e.tokenizer.encode(f"often these{new} often these").ids
+    assert len(asked) > 700 and asked.count(f"{e.blank}these") == asked.count(f"{e.blank}often") == 1
